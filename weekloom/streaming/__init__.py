@@ -1,0 +1 @@
+"""Deliberately empty: the domain is batch only, with no streams, watermarks or state."""
