@@ -1,50 +1,77 @@
-"""p-values of correlation coefficients, on result tables of a few rows."""
+"""p-values of correlation coefficients, as plain column expressions."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+_TERMS = 300
 # From this many pairs on, the t tail and the normal tail agree to more digits than matter.
 _NORMAL_FROM = 50_000
+_SHIFT = 8
 
 
 def correlation_p_value(r: Column, n: Column) -> Column:
     """Two-sided p of r under no correlation: a beta tail with n - 2 degrees of freedom."""
-    return _p_values(r.cast("double"), n.cast("double"))
-
-
-@F.pandas_udf("double")
-def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_p_value(a, b) for a, b in zip(r, n)], dtype="float64")
-
-
-def _p_value(r: float, n: float) -> float | None:
-    if r is None or math.isnan(r) or n < 3:
-        return None
-    rest = max(0.0, 1.0 - r * r)
-    if n > _NORMAL_FROM and rest > 0.0:
-        return math.erfc(abs(r) * math.sqrt((n - 2) / rest / 2.0))
-    return _beta_tail((n - 2) / 2.0, 0.5, rest)
-
-
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    # Evaluate from the far end: convergence is fast on this side of the mode.
-    value = 1.0
-    for m in range(300, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        value = 1.0 + even / (1.0 + odd / value)
-    first = -(a + b) * x / (a + 1)
-    return front / (1.0 + first / value)
+    r, n = r.cast("double"), n.cast("double")
+    rest = F.greatest(1.0 - r * r, F.lit(0.0))
+    exact = _beta_tail((n - 2.0) / 2.0, F.lit(0.5), rest)
+    # For large n the tail is exp(-t^2 / 2), far below any level of interest once t is large.
+    t = F.abs(r) * F.sqrt(F.try_divide(n - 2.0, rest))
+    normal = _normal_tail(t)
+    return (
+        F.when(r.isNull() | (n < 3), F.lit(None).cast("double"))
+        .when(rest == 0.0, 0.0)
+        .when(n > _NORMAL_FROM, normal)
+        .otherwise(exact)
+    )
+
+
+def _beta_tail(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function, from the side where its fraction converges fast."""
+    direct = _beta_fraction(a, b, x)
+    mirrored = 1.0 - _beta_fraction(b, a, 1.0 - x)
+    return (
+        F.when(x <= 0.0, 0.0).when(x >= 1.0, 1.0)
+        .when(x <= (a + 1.0) / (a + b + 2.0), direct).otherwise(mirrored)
+    )
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction evaluated from its far end, times the leading factor."""
+    def term(below: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + m * 2.0 - 1.0) * (a + m * 2.0))
+        odd = -(a + m) * (a + b + m) * x / ((a + m * 2.0) * (a + m * 2.0 + 1.0))
+        return F.lit(1.0) + even / (F.lit(1.0) + odd / below)
+
+    inner = F.aggregate(F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), term)
+    first = F.lit(1.0) - (a + b) * x / (a + 1.0) / inner
+    log_factor = (_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+                  + a * F.log(x) + b * F.log1p(-x))
+    return F.exp(log_factor) / a / first
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, shifted to arguments where it is exact to about 1e-13."""
+    z = x + float(_SHIFT)
+    series = 1.0 / (z * 12.0) - 1.0 / (z * z * z * 360.0) + 1.0 / (z * z * z * z * z * 1260.0)
+    shifted = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2.0 * math.pi) + series
+    for i in range(_SHIFT):
+        shifted = shifted - F.log(x + float(i))
+    return shifted
+
+
+def _normal_tail(t: Column) -> Column:
+    """Two-sided normal tail by the continued fraction of the Mills ratio; series near zero."""
+    far = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), t.cast("double"),
+                      lambda below, k: t + k / below)
+    density = F.exp(-t * t / 2.0) / math.sqrt(2.0 * math.pi)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(80)),
+        F.struct(t.cast("double").alias("term"), t.cast("double").alias("sum")),
+        lambda acc, k: F.struct(
+            (acc["term"] * t * t / (k * 2.0 + 1.0)).alias("term"),
+            (acc["sum"] + acc["term"] * t * t / (k * 2.0 + 1.0)).alias("sum")))
+    return F.when(t < 3.0, 1.0 - series["sum"] * density * 2.0).otherwise(density * 2.0 / far)
