@@ -190,11 +190,13 @@ def lagged_correlation(weeks: DataFrame, measures: Sequence[str], count: str = "
     order = Window.partitionBy(*by).orderBy(*keys.time)
     shifted = weeks.select(*by, count, *[
         F.lag(m, k).over(order).alias(f"{m}@{k}") for m in measures for k in lags])
-    table = shifted.groupBy(*by).agg(F.array(*[
+    pairs = F.array(*[
         F.struct(F.lit(m).alias("variable"), F.lit(k).cast("int").alias("lag"),
-                 correlation(F.col(count), F.col(f"`{m}@{k}`")).alias("r"))
-        for m in measures for k in lags]).alias("_rows"))
-    return table.select(*by, F.explode("_rows").alias("_row")).select(*by, "_row.*")
+                 F.col(f"`{m}@{k}`").cast("double").alias("x"))
+        for m in measures for k in lags])
+    long = shifted.select(*by, F.col(count).alias("_y"), F.explode(pairs).alias("_pair"))
+    return long.groupBy(*by, "_pair.variable", "_pair.lag").agg(
+        correlation(F.col("_y"), F.col("_pair.x")).alias("r"))
 
 
 def best_lag(correlations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -205,10 +207,17 @@ def best_lag(correlations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def correlation_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson r of every two columns, all from one scan."""
-    pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"),
-                      correlation(F.col(a), F.col(b)).alias("r")) for a, b in combinations(columns, 2)]
-    return rows.agg(F.array(*pairs).alias("_pairs")).select(F.explode("_pairs").alias("_p")).select("_p.*")
+    """Pairwise-complete Pearson r of every two columns, all from one scan.
+
+    The pairs are rows of one short aggregate rather than hundreds of aggregate columns, and
+    are reduced before the shuffle to one row per pair.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"),
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in combinations(columns, 2)])
+    return rows.select(F.explode(pairs).alias("_p")).groupBy("_p.first", "_p.second").agg(
+        correlation(F.col("_p.x"), F.col("_p.y")).alias("r"))
 
 
 def linear_trend(rows: DataFrame, measures: Sequence[str], count: str = "total") -> DataFrame:
@@ -234,8 +243,14 @@ def rank_correlation(panel: DataFrame, measures: Sequence[str], focus: int, coun
     # The same pair of values recurs often (empty weeks); one weighted row stands for all.
     by = ["group", "variable"]
     weighted = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranked = attach_rank(weighted, average_ranks(pairs, "x", by), "x", by, "rx")
-    ranked = attach_rank(ranked, average_ranks(pairs, "y", by), "y", by, "ry")
+    sides = pairs.unpivot(by, ["x", "y"], "side", "value")
+    ranks = average_ranks(sides, "value", [*by, "side"])
+
+    def of(side: str) -> DataFrame:
+        return ranks.where(F.col("side") == side).withColumnRenamed("value", side)
+
+    ranked = attach_rank(weighted, of("x"), "x", by, "rx")
+    ranked = attach_rank(ranked, of("y"), "y", by, "ry")
     table = ranked.groupBy(*by).agg(
         F.sum("w").alias("n"),
         _weighted_correlation("x", "y", "w").alias("pearson"),

@@ -44,7 +44,7 @@ def relative_incidence(spark, sf):
 
 
 def high_incidence(spark, sf):
-    return neat(explore.relative_incidence(supplier_panel(spark, sf), at_least=1.5))
+    return neat(explore.relative_incidence(supplier_panel(spark, sf), at_least=1.1))
 
 
 def focus_share(spark, sf):
@@ -184,7 +184,7 @@ ORACLES = {
     QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY mean_total DESC, epi_week) = 1""", ["peak_mean"]),
                          "panel", extra={"grouped": _GROUPED.format("panel")}),
     "relative_incidence": sql(neat_wrap(_RELATIVE, ["relative"]), "supplier_panel"),
-    "high_incidence": sql(neat_wrap(f"SELECT * FROM ({_RELATIVE}) WHERE relative > 1.5", ["relative"]), "supplier_panel"),
+    "high_incidence": sql(neat_wrap(f"SELECT * FROM ({_RELATIVE}) WHERE relative > 1.1", ["relative"]), "supplier_panel"),
     "focus_share": sql(neat_wrap(_SHARE, ["pct"]), "panel"),
     "focus_summary": sql(neat_wrap(f"""
     SELECT count(*) FILTER (WHERE pct > 8)::BIGINT AS weeks_above, count(*) FILTER (WHERE total > 0)::BIGINT AS active_weeks,
