@@ -233,42 +233,31 @@ def rank_correlation(panel: DataFrame, measures: Sequence[str], focus: int, coun
                      keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Pearson and Spearman r per group and measure, with |rho| - |r|.
 
-    Ranks share ties and are made per group and measure over complete pairs.
+    Ranks share ties and are made per group and measure over complete pairs. The panel is
+    read several times: settle a costly one first.
     """
     values = panel.select(keys.entity, F.col(count).cast("double").alias("y"),
                           *[F.col(m).cast("double").alias(m) for m in measures])
     long = values.unpivot([keys.entity, "y"], list(measures), "variable", "x").where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
     pairs = with_groups(long, focus, keys).select("group", "variable", "x", "y")
-    # The same pair of values recurs often (empty weeks); one weighted row stands for all.
     by = ["group", "variable"]
+    plain = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("pearson"))
+    x_ranks, y_ranks = average_ranks(pairs, "x", by), average_ranks(pairs, "y", by)
+    # The same pair of values recurs often (empty weeks); one weighted row stands for all.
     weighted = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    sides = pairs.unpivot(by, ["x", "y"], "side", "value")
-    ranks = average_ranks(sides, "value", [*by, "side"])
-
-    def of(side: str) -> DataFrame:
-        return ranks.where(F.col("side") == side).withColumnRenamed("value", side)
-
-    ranked = attach_rank(weighted, of("x"), "x", by, "rx")
-    ranked = attach_rank(ranked, of("y"), "y", by, "ry")
-    table = ranked.groupBy(*by).agg(
-        F.sum("w").alias("n"),
-        _weighted_correlation("x", "y", "w").alias("pearson"),
-        _weighted_correlation("rx", "ry", "w").alias("spearman"))
-    return table.withColumn("difference", F.abs("spearman") - F.abs("pearson"))
-
-
-def _weighted_correlation(x: str, y: str, w: str) -> Column:
-    """r from centred sums would need a second pass; sums of products suffice for ranks and
-    for weekly measures, whose magnitudes are moderate. Constant sides give null."""
-    n = F.sum(w)
-    sx, sy = F.sum(F.col(x) * F.col(w)), F.sum(F.col(y) * F.col(w))
-    sxx, syy = F.sum(F.col(x) * F.col(x) * F.col(w)), F.sum(F.col(y) * F.col(y) * F.col(w))
-    sxy = F.sum(F.col(x) * F.col(y) * F.col(w))
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    spread = F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(
-        F.greatest(n * syy - sy * sy, F.lit(0.0)))
-    return F.when(varies, F.try_divide(n * sxy - sx * sy, spread))
+    ranked = attach_rank(weighted, x_ranks, "x", by, "x_rank")
+    # One row per y is left before its rank is joined, so a frequent y is no burden.
+    per_y = ranked.groupBy(*by, "y").agg(F.sum(F.col("w") * F.col("x_rank")).alias("_sum"))
+    off = F.col("rank") - (F.col("total") + 1) / F.lit(2.0)
+    cross = per_y.join(y_ranks, [*by, "y"]).groupBy(*by).agg(
+        F.sum(F.col("_sum") * off).alias("_xy"), F.sum(F.col("n") * off * off).alias("_yy"))
+    spread = x_ranks.groupBy(*by).agg(F.sum(F.col("n") * off * off).alias("_xx"))
+    rho = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
+    return plain.join(cross, by, "left").join(spread, by, "left").select(
+        *by, "n", "pearson", rho.alias("spearman"),
+        (F.abs(rho) - F.abs("pearson")).alias("difference"))
 
 
 def with_significance(correlations: DataFrame, columns: Sequence[str] = ("pearson", "spearman"),

@@ -96,7 +96,10 @@ def _bucketed(distinct: DataFrame, value: str) -> DataFrame:
     steps = _COARSE * _FINE
     points = [i / steps for i in range(1, steps)]
     number = F.col(value).cast("double")
-    cuts = distinct.agg(F.percentile_approx(number, points, 4 * steps)).scalar()
+    # The count is always positive. Naming it keeps this branch equal to the main one, so that
+    # both read one shuffle.
+    counted = distinct.where(F.col("n") > 0)
+    cuts = counted.agg(F.percentile_approx(number, points, 4 * steps)).scalar()
     every = F.transform(F.sequence(F.lit(1), F.lit(_COARSE - 1)),
                         lambda i: F.element_at("_cuts", i * _FINE))
     coarse = F.size(F.filter(every, lambda cut: cut <= number))

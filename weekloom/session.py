@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "weekloom", shuffle_partitions: int = 8,
@@ -22,17 +23,28 @@ def local_session(cores: str | int = "*", app: str = "weekloom", shuffle_partiti
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the reliable checkpoint folder, honouring ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    ``fallback`` is used only where the session names none, as in tests.
+    Only a local session without that setting gets a temporary folder of its own.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = context.getConf().get("spark.checkpoint.dir") or fallback
-    if not configured:
+    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if configured:
+        return configured
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(configured)
-    return context.getCheckpointDir() or os.fspath(configured)
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """Write a costly intermediate table once and read it back.
+
+    For operators that read their input several times. A parquet table, unlike a cache,
+    survives the loss of executors, and unlike an RDD checkpoint keeps column pruning.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -9,6 +9,7 @@ from weekloom.functions.calendar import iso_week, iso_year
 from weekloom.operators.panel import densify, weekly_sum
 from weekloom.plans.features import base_features, feature_table
 from weekloom.plans.ingest import master_table, weather_weeks
+from weekloom.session import settled
 
 FOCUS = 7
 TRAIN_UNTIL = (1999, 52)
@@ -100,7 +101,7 @@ def base_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return feature_table(base_table(spark, sf), TRAIN_UNTIL, VALIDATION_UNTIL)
+    return feature_table(settled(base_table(spark, sf)), TRAIN_UNTIL, VALIDATION_UNTIL)
 
 
 WEATHER_COLUMNS = [

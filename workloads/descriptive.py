@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.operators import explore, panel as panels
+from weekloom.session import settled
 from workloads.base import (
-    FOCUS, base_table, entities, master, neat, neat_wrap, panel, sql, supplier_panel, table, weather,
+    FOCUS, entities, master, neat, neat_wrap, panel, sql, supplier_panel, table, weather,
 )
 
 _MEASURES = ["temp_mean", "precipitation", "humidity_mean"]
@@ -56,7 +57,7 @@ def focus_summary(spark, sf):
 
 
 def zero_imbalance(spark, sf):
-    return neat(explore.zero_imbalance(supplier_panel(spark, sf), FOCUS))
+    return neat(explore.zero_imbalance(settled(supplier_panel(spark, sf)), FOCUS))
 
 
 def panel_quality(spark, sf):
@@ -97,7 +98,7 @@ def bucket_histogram(spark, sf):
 
 
 def _weeks(spark, sf):
-    return panels.week_totals(base_table(spark, sf), constant=_MEASURES)
+    return panels.week_totals(master(spark, sf), constant=_MEASURES)
 
 
 def lagged_correlation(spark, sf):
@@ -118,12 +119,12 @@ def linear_trend(spark, sf):
 
 def rank_correlation(spark, sf):
     return neat(explore.rank_correlation(
-        master(spark, sf), [*_MEASURES, "heat_index_mean", "temp_mean_anomaly", "precipitation_anomaly"], FOCUS))
+        settled(master(spark, sf)), [*_MEASURES, "heat_index_mean", "temp_mean_anomaly", "precipitation_anomaly"], FOCUS))
 
 
 def correlation_significance(spark, sf):
     return neat(explore.with_significance(
-        explore.rank_correlation(master(spark, sf), _MEASURES, FOCUS)))
+        explore.rank_correlation(settled(master(spark, sf)), _MEASURES, FOCUS)))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -8,6 +8,7 @@ from weekloom.functions.measures import from_log_target, log_target, outbreak_we
 from weekloom.operators import alerts, augment, features as ops
 from weekloom.operators.panel import join_population, rebuild
 from weekloom.plans.features import NORMALISED
+from weekloom.session import settled
 from workloads.base import (
     FOCUS, TRAIN_UNTIL, VALIDATION_UNTIL, WEATHER_COLUMNS, base_table, edges, features, master, neat,
     neat_wrap, panel, population, sql, supplier_panel,
@@ -72,7 +73,7 @@ def scaled_features(spark, sf):
 
 
 def min_max_targets(spark, sf):
-    base = ops.add_split(base_table(spark, sf), TRAIN_UNTIL, VALIDATION_UNTIL)
+    base = ops.add_split(settled(base_table(spark, sf)), TRAIN_UNTIL, VALIDATION_UNTIL)
     names = ["cases", *_TARGETS]
     fitted = ops.fit_min_max(base.where("split = 'train'"), names)
     return neat(ops.apply_min_max(base, fitted, names).select(*_KEY, *[f"{n}_scaled" for n in names]))
@@ -150,7 +151,7 @@ def scaled_copies(spark, sf):
 
 
 def _augmented(spark, sf):
-    train = _train(spark, sf)
+    train = settled(_train(spark, sf))
     return augment.augmented(train, augment.scaled_copies(augment.outbreak_weeks(train)))
 
 
@@ -170,11 +171,12 @@ def augmentation_histogram(spark, sf):
 
 
 def alert_thresholds(spark, sf):
-    return neat(alerts.fit_alert_thresholds(_train(spark, sf)))
+    return neat(alerts.fit_alert_thresholds(settled(_train(spark, sf))))
 
 
 def alert_levels(spark, sf):
-    levels = alerts.add_alert_level(supplier_panel(spark, sf), alerts.fit_alert_thresholds(_train(spark, sf)))
+    levels = alerts.add_alert_level(
+        supplier_panel(spark, sf), alerts.fit_alert_thresholds(settled(_train(spark, sf))))
     return levels.groupBy("year", "alert").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weekloom.operators import features as ops, forecast
 from weekloom.operators.panel import combine_sources
+from weekloom.session import settled
 from weekloom.sources.tables import routing_table
 from workloads.base import TRAIN_UNTIL, VALIDATION_UNTIL, neat, neat_wrap, panel, sql
 
@@ -27,7 +28,7 @@ def lagged(spark, sf):
 
 def predictions(spark, sf):
     """Three models: last week, four weeks ago, and the mean of the week (horizon 0 only)."""
-    rows = lagged(spark, sf)
+    rows = settled(lagged(spark, sf))
     fitted = forecast.fit_week_means(rows.where("split = 'train'"))
     return combine_sources([
         forecast.persistence(rows),

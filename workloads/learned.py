@@ -1,2 +1,192 @@
-QUERIES = {}
-ORACLES = {}
+"""Fitted forecasts and feature importance. Fitting has no SQL form; the roll-ups have."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weekloom.operators import evaluate, folds as fold_ops, importance, models
+from weekloom.operators.forecast import persistence
+from weekloom.operators.panel import combine_sources
+from weekloom.plans.scoring import ensemble_report, walk_forward_report
+from weekloom.session import settled
+from weekloom.sources.tables import routing_table
+from workloads.base import base_table, features, neat, neat_wrap, sql
+from workloads.scoring import BLOCKS
+
+# Smaller than the defaults, so that a check of all queries stays short.
+TREES = 40
+ROUNDS = 20
+ROUTING = {
+    0: {"default": "boosted"}, 1: {"default": "persistence"}, 2: {"default": "persistence"},
+    3: {"default": "sequence"}, 4: {"default": "sequence"},
+}
+
+
+def _parts(spark, sf):
+    """Features with the last training year held back to stop boosting."""
+    table = settled(features(spark, sf))
+    train = table.where("split = 'train'")
+    return table, train, train.where("year < 1999"), train.where("year = 1999"), table.where("split <> 'train'")
+
+
+def _scores(predictions):
+    return neat(evaluate.scores(predictions, ["model", "split", "horizon"]))
+
+
+def ridge_scores(spark, sf):
+    _, train, _, _, held = _parts(spark, sf)
+    return _scores(models.predict(models.fit_ridge(train), held, "ridge"))
+
+
+def forest_scores(spark, sf):
+    _, train, _, _, held = _parts(spark, sf)
+    return _scores(models.predict(models.fit_forest(train, trees=TREES), held, "forest"))
+
+
+def _boosted(early, late, horizon):
+    target = "cases" if horizon == 0 else f"target_h{horizon}"
+    return models.fit_boosted(early, target=target, validation=late, maxIter=ROUNDS, maxDepth=4)
+
+
+def boosted_scores(spark, sf):
+    _, _, early, late, held = _parts(spark, sf)
+    parts = [models.predict(_boosted(early, late, h), held, "boosted", h) for h in (0, 1, 4)]
+    return _scores(combine_sources(parts))
+
+
+def _sequence(spark, sf, kind, horizon):
+    table = settled(features(spark, sf))
+    target = "cases" if horizon == 0 else f"target_h{horizon}"
+    rows = models.sequence_rows(table, target=target)
+    params = {"maxIter": 30} if kind == "linear" else {"maxIter": 5}
+    model = models.fit_sequence(rows.where("split = 'train'"), kind, **params)
+    return models.predict_sequence(model, rows.where("split <> 'train'"), f"sequence_{kind}", horizon)
+
+
+def sequence_linear_scores(spark, sf):
+    return _scores(_sequence(spark, sf, "linear", 3))
+
+
+def sequence_boosted_scores(spark, sf):
+    return _scores(_sequence(spark, sf, "boosted", 3))
+
+
+def grid_search_results(spark, sf):
+    table, train, *_ = _parts(spark, sf)
+    grid = {"maxIter": [5], "maxDepth": [3, 5], "stepSize": [0.1], "minInstancesPerNode": [1, 5]}
+    _, results = models.grid_search(train, fold_ops.expanding_folds(train, n_splits=2), grid=grid)
+    return neat(results)
+
+
+def stacked_scores(spark, sf):
+    _, train, _, _, held = _parts(spark, sf)
+    fitters = {
+        "boosted": lambda rows: models.fit_boosted(rows, maxIter=10, maxDepth=4),
+        "forest": lambda rows: models.fit_forest(rows, trees=10),
+    }
+    base = models.out_of_fold(train, fold_ops.expanding_folds(train, n_splits=3), fitters)
+    meta = models.fit_stack(settled(models.stack_frame(base, list(fitters))), list(fitters), trees=20)
+    final = combine_sources([models.predict(fit(train), held, name) for name, fit in fitters.items()])
+    stacked = models.predict(meta, models.stack_frame(final, list(fitters)), "stacked")
+    return _scores(stacked)
+
+
+def _all_models(spark, sf):
+    table, _, early, late, held = _parts(spark, sf)
+    parts = [persistence(held)]
+    parts += [models.predict(_boosted(early, late, h), held, "boosted", h) for h in range(5)]
+    for h in (3, 4):
+        rows = models.sequence_rows(table, target=f"target_h{h}")
+        model = models.fit_sequence(rows.where("split = 'train'"), maxIter=30)
+        parts.append(models.predict_sequence(model, rows.where("split <> 'train'"), "sequence", h))
+    return table, [settled(combine_sources(parts))]
+
+
+def ensemble_scores(spark, sf):
+    """All models, the same rows for each, and the routed ensemble next to them."""
+    _, parts = _all_models(spark, sf)
+    return neat(ensemble_report(parts, routing_table(spark, ROUTING)).by_horizon)
+
+
+def walk_forward_scores(spark, sf):
+    table, parts = _all_models(spark, sf)
+    by_fold, _, _ = walk_forward_report(
+        combine_sources(parts), table, fold_ops.block_table(spark, BLOCKS))
+    return neat(by_fold)
+
+
+def gain_importance(spark, sf):
+    _, _, early, late, _ = _parts(spark, sf)
+    return combine_sources([
+        importance.tree_importance(spark, _boosted(early, late, h), h) for h in (0, 4)])
+
+
+def coefficient_importance(spark, sf):
+    _, train, *_ = _parts(spark, sf)
+    return importance.linear_importance(spark, models.fit_ridge(train)).orderBy(
+        F.desc("importance"), "feature").limit(20)
+
+
+def permutation_importance(spark, sf):
+    _, train, _, _, held = _parts(spark, sf)
+    model = models.fit_forest(train, trees=10)
+    return neat(importance.permutation_importance(model, held))
+
+
+def _counted_importance(spark, sf):
+    """A stand-in importance with an SQL form: rows where feature and target exceed a bound."""
+    base = base_table(spark, sf)
+    names = models.BOOSTED_FEATURES
+    wide = base.agg(*[
+        F.count_if((F.col(f) > 0) & (F.col("cases" if h == 0 else f"target_h{h}") > h)).alias(f"{f}@{h}")
+        for f in names for h in (0, 1, 4)])
+    long = wide.unpivot([], [f"`{f}@{h}`" for f in names for h in (0, 1, 4)], "key", "hits")
+    key = F.split("key", "@")
+    table = settled(long.select(
+        key[0].alias("feature"), key[1].cast("int").alias("horizon"), F.col("hits").cast("double").alias("importance")))
+    return table.withColumn("category", importance.category_of(F.col("feature")))
+
+
+def category_importance(spark, sf):
+    return neat(importance.by_category(_counted_importance(spark, sf)))
+
+
+def category_changes(spark, sf):
+    return importance.dominant_changes(_counted_importance(spark, sf))
+
+
+def top_features(spark, sf):
+    return neat(importance.top_features(_counted_importance(spark, sf)))
+
+
+QUERIES = {f.__name__: f for f in (
+    ridge_scores, forest_scores, boosted_scores, sequence_linear_scores, sequence_boosted_scores,
+    grid_search_results, stacked_scores, ensemble_scores, walk_forward_scores, gain_importance,
+    coefficient_importance, permutation_importance, category_importance, category_changes, top_features,
+)}
+
+_CATEGORY = "CASE " + " ".join(
+    f"WHEN regexp_matches(feature, '{pattern}') THEN '{name}'" for name, pattern in importance.CATEGORIES
+) + " ELSE 'Other' END AS category"
+_COUNTED = {"hits": " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {h}::INT AS horizon, count(*) FILTER (WHERE {f} > 0 AND "
+    f"{'cases' if h == 0 else f'target_h{h}'} > {h})::DOUBLE AS importance FROM base"
+    for f in models.BOOSTED_FEATURES for h in (0, 1, 4)),
+    "named": f"SELECT *, {_CATEGORY} FROM hits",
+    "rolled": """SELECT horizon, category, importance, row_number() OVER (PARTITION BY horizon
+      ORDER BY importance DESC, category)::INT AS place FROM (
+      SELECT horizon, category, sum(importance) AS importance FROM named GROUP BY ALL)"""}
+
+ORACLES = {
+    "category_importance": sql(neat_wrap("SELECT * FROM rolled", ["importance"]), "base", extra=_COUNTED),
+    "category_changes": sql("""
+    SELECT a::INT AS short_horizon, b::INT AS long_horizon, s.category AS short_category, l.category AS long_category,
+      s.category <> l.category AS changed FROM (VALUES (0, 4), (1, 4)) p(a, b)
+    JOIN rolled s ON s.horizon = a AND s.place = 1 JOIN rolled l ON l.horizon = b AND l.place = 1""", "base", extra=_COUNTED),
+    "top_features": sql(neat_wrap("""
+    SELECT feature, horizon, importance, category, place, CASE WHEN contains(plain, '_lag')
+      THEN replace(split_part(plain, '_lag', 1), '_', ' ') || ' (lag ' || split_part(plain, '_lag', 2) || ')'
+      ELSE replace(plain, '_', ' ') END AS name
+    FROM (SELECT *, replace(feature, '_norm', '') AS plain, row_number() OVER (PARTITION BY horizon
+      ORDER BY importance DESC, feature)::INT AS place FROM named) WHERE place <= 10""", ["importance"]), "base", extra=_COUNTED),
+}

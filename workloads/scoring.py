@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.operators import evaluate, folds as fold_ops, forecast
+from weekloom.session import settled
+from weekloom.sources.tables import routing_table
 from workloads.base import neat, neat_wrap, panel, sql
-from workloads.forecasts import PREDICTIONS_CTE, ROUTED_CTE, ROWS_CTE, lagged, predictions, routed
+from workloads.forecasts import PREDICTIONS_CTE, ROUTED_CTE, ROUTING, ROWS_CTE, lagged, predictions
 
 MODEL_ORDER = ["persistence", "lag4", "historical_mean"]
 BLOCKS = [("1998 high", 1998, 1, 26), ("1998 low", 1998, 27, 53), ("2000", 2000, 1, 52), ("2010", 2010, 1, 52)]
@@ -30,7 +32,7 @@ def outbreak_scores(spark, sf):
 
 
 def auc_scores(spark, sf):
-    return neat(evaluate.auc(predictions(spark, sf), ["model", "horizon"]))
+    return neat(evaluate.auc(settled(predictions(spark, sf)), ["model", "horizon"]))
 
 
 def entity_outbreak_scores(spark, sf):
@@ -61,7 +63,7 @@ def entity_horizon_scores(spark, sf):
 
 
 def shared_support(spark, sf):
-    shared = evaluate.common_support(predictions(spark, sf))
+    shared = evaluate.common_support(settled(predictions(spark, sf)))
     return neat(evaluate.scores(shared, ["model", "split", "horizon"]))
 
 
@@ -70,7 +72,8 @@ def winners(spark, sf):
 
 
 def win_counts(spark, sf):
-    return neat(evaluate.win_counts(evaluate.winners(_validation(spark, sf), MODEL_ORDER)))
+    best = settled(evaluate.winners(_validation(spark, sf), MODEL_ORDER))
+    return neat(evaluate.win_counts(best))
 
 
 def macro_mae(spark, sf):
@@ -90,8 +93,9 @@ def hardest_and_easiest(spark, sf):
 
 
 def ensemble_against_best(spark, sf):
-    single = predictions(spark, sf)
-    everything = single.unionByName(routed(spark, sf).drop("model_used"))
+    single = settled(predictions(spark, sf))
+    chosen = forecast.route(single, routing_table(spark, ROUTING))
+    everything = single.unionByName(chosen.drop("model_used"))
     return neat(evaluate.ensemble_against_best(evaluate.scores(everything, ["model", "split", "horizon"])))
 
 
@@ -134,12 +138,12 @@ def fold_members(spark, sf):
 
 
 def fold_scores(spark, sf):
-    dense = panel(spark, sf)
+    dense = settled(panel(spark, sf))
     return neat(fold_ops.fold_scores(predictions(spark, sf), dense, fold_ops.rolling_folds(dense)))
 
 
 def fold_stability(spark, sf):
-    dense = panel(spark, sf)
+    dense = settled(panel(spark, sf))
     table = fold_ops.fold_scores(predictions(spark, sf), dense, fold_ops.rolling_folds(dense))
     return neat(fold_ops.stability(table))
 
