@@ -69,16 +69,18 @@ def fit_ridge(train: DataFrame, features: Sequence[str] = RIDGE_FEATURES, target
               alpha: float = 1.0) -> PipelineModel:
     """L2-penalised linear fit on standardised features, prediction not below 0.
 
-    ``alpha`` penalises the sum of squares over rows. MLlib averages over rows and its scaler
-    uses the sample deviation, hence the factor on the penalty.
+    ``alpha`` penalises the sum of squares over rows. MLlib averages over rows, divides the
+    penalty by the deviation of the label, and its scaler uses the sample deviation of the
+    features; the factor on the penalty makes up for all three.
     """
     usable = _usable(train, features, target)
-    n = usable.count()
+    size = usable.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("deviation")).first()
+    n, deviation = size["n"], size["deviation"]
     stages = [
         _assembler(usable, features, "raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         LinearRegression(labelCol=target, elasticNetParam=0.0, standardization=False,
-                         regParam=alpha * (n - 1) / n / n, solver="normal"),
+                         regParam=alpha * deviation * (n - 1) / n / n, solver="normal"),
         _output(),
     ]
     return Pipeline(stages=stages).fit(usable)
