@@ -9,7 +9,7 @@ buckets before are exact.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,12 +100,19 @@ def _bucketed(distinct: DataFrame, value: str) -> DataFrame:
     # both read one shuffle.
     counted = distinct.where(F.col("n") > 0)
     cuts = counted.agg(F.percentile_approx(number, points, 4 * steps)).scalar()
-    every = F.transform(F.sequence(F.lit(1), F.lit(_COARSE - 1)),
-                        lambda i: F.element_at("_cuts", i * _FINE))
-    coarse = F.size(F.filter(every, lambda cut: cut <= number))
-    block = F.slice("_cuts", F.col("_coarse") * _FINE + 1, F.lit(_FINE - 1))
-    fine = F.size(F.filter(block, lambda cut: cut <= number))
+    coarse = _cuts_reached(number, lambda i: F.get("_cuts", F.lit((i + 1) * _FINE - 1)), 0, _COARSE - 1)
+    start = F.col("_coarse") * _FINE
+    fine = _cuts_reached(number, lambda i: F.get("_cuts", start + i), 0, _FINE - 1)
     return (
         distinct.withColumn("_cuts", cuts).withColumn("_coarse", coarse)
-        .withColumn("_bucket", F.col("_coarse") * _FINE + fine).drop("_cuts", "_coarse")
+        .withColumn("_bucket", F.coalesce(start + fine, F.lit(0))).drop("_cuts", "_coarse")
     )
+
+
+def _cuts_reached(number: Column, cut: Callable[[int], Column], low: int, high: int) -> Column:
+    """How many of the ascending cuts are not above the number, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(cut(middle) <= number, _cuts_reached(number, cut, middle + 1, high)).otherwise(
+        _cuts_reached(number, cut, low, middle))

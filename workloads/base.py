@@ -97,7 +97,9 @@ def master(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def base_table(spark: SparkSession, sf: str) -> DataFrame:
-    return base_features(master(spark, sf), population(spark, sf), edges(spark, sf), focus=FOCUS)
+    # Features read the master several times (own series, neighbours, weeks of weather).
+    return base_features(
+        settled(master(spark, sf)), population(spark, sf), edges(spark, sf), focus=FOCUS)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
