@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.aggregates import share
-from weekloom.functions.measures import clip_low
 from weekloom.functions.noise import keyed_normal
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.explore import bucket_histogram
@@ -65,7 +64,7 @@ def scaled_copies(rows: DataFrame, factors: Sequence[float] = FACTORS, noise: fl
     def copy(name: str) -> Column:
         value = F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * F.col("factor")
         spread = F.abs(value) * F.lit(noise) + F.lit(NOISE_FLOOR)
-        return clip_low(value + keyed_normal(identity, name) * spread).alias(name)
+        return F.greatest(value + keyed_normal(identity, name) * spread, F.lit(0.0)).alias(name)
 
     return copies.select(*kept, *[copy(c) for c in scaled], F.lit(True).alias("is_synthetic"), "factor")
 

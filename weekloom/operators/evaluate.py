@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.aggregates import regression_scores
@@ -143,10 +143,10 @@ def winners(entity_table: DataFrame, model_order: Sequence[str], baseline: str =
 
 def win_counts(winner_table: DataFrame) -> DataFrame:
     """Groups won and their percentage per model."""
-    total = winner_table.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = winner_table.groupBy("model").agg(F.count(F.lit(1)).alias("n_wins"))
-    return counted.withColumn("_total", total).select(
-        "model", "n_wins", F.try_divide(F.col("n_wins") * 100.0, F.col("_total")).alias("pct"))
+    # One row per model, so the total is taken on a handful of rows.
+    total = F.sum("n_wins").over(Window.partitionBy())
+    return counted.select("model", "n_wins", F.try_divide(F.col("n_wins") * 100.0, total).alias("pct"))
 
 
 def macro_mae(entity_table: DataFrame, horizons: Sequence[int]) -> DataFrame:

@@ -21,6 +21,8 @@ WEATHER_MEASURES = (
 LAGS = (1, 2, 3, 4)
 HORIZONS = (1, 2, 3, 4)
 INCIDENCE_BASE = 10_000
+# Distance from 1 to the next double.
+_EPSILON = 2.0 ** -52
 
 
 def add_incidence(panel: DataFrame, count: str = "cases", population: str = "population",
@@ -49,20 +51,23 @@ def add_targets(panel: DataFrame, count: str = "cases", horizons: Sequence[int]
 
 def add_neighbour_means(panel: DataFrame, edges: DataFrame, columns: Mapping[str, str],
                         lag: int = 1, keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Mean over neighbouring entities of the same week (nulls skipped), then lagged.
+    """Mean over neighbouring entities (nulls skipped) some rows before.
 
     ``edges`` has columns ``src`` and ``dst``. Work is one row per edge and week, reduced by
-    partial means before the shuffle; no pivot, so the number of entities is free.
+    partial means before the shuffle; no pivot, so the number of entities is free. A row looks
+    up the means of its earlier week, which it takes from the window all lags share, so the
+    panel is not sorted again after the join.
     """
     sent = edges.select("src", F.col("dst").alias(keys.entity)).join(
         panel.select(*keys.panel, *columns), keys.entity, "inner")
-    means = sent.groupBy(F.col("src").alias(keys.entity), *keys.time).agg(
-        *[F.avg(c).alias(f"_{name}") for c, name in columns.items()])
+    means = sent.groupBy(
+        F.col("src").alias(keys.entity), F.col(keys.year).alias("_year"), F.col(keys.week).alias("_week")
+    ).agg(*[F.avg(c).alias(f"{name}_lag{lag}") for c, name in columns.items()])
     order = keys.series()
-    joined = panel.join(means, keys.panel, "left")
-    return joined.select(
-        *panel.columns,
-        *[F.lag(f"_{name}", lag).over(order).alias(f"{name}_lag{lag}") for name in columns.values()])
+    dated = panel.withColumns({
+        "_year": F.lag(keys.year, lag).over(order), "_week": F.lag(keys.week, lag).over(order)})
+    return dated.join(means, [keys.entity, "_year", "_week"], "left").select(
+        *panel.columns, *[f"{name}_lag{lag}" for name in columns.values()])
 
 
 def weather_by_week(panel: DataFrame, measures: Sequence[str] = WEATHER_MEASURES,
@@ -139,15 +144,20 @@ def split_sizes(panel: DataFrame) -> DataFrame:
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population deviation per column (null as 0, zero deviation as 1): one row."""
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    """Mean and population deviation per column (null as 0): one row.
+
+    A column whose variance is within rounding error of zero gets deviation 1.
+    """
+    n = F.count(F.lit(1)).cast("double")
     stats = []
-    for name, value in filled.items():
-        deviation = F.stddev_pop(value)
-        flat = (F.min(value) == F.max(value)) | (deviation == 0)
+    for name in columns:
+        value = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        mean, variance = F.avg(value), F.var_pop(value)
+        error = n * mean * F.lit(_EPSILON)
+        flat = variance <= n * F.lit(_EPSILON) * variance + error * error
         stats.append(F.struct(
-            F.avg(value).alias("mean"),
-            F.when(flat, 1.0).otherwise(deviation).alias("deviation")).alias(name))
+            mean.alias("mean"), F.when(flat, 1.0).otherwise(F.sqrt(variance)).alias("deviation")
+        ).alias(name))
     return train.agg(*stats)
 
 

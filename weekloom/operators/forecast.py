@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.measures import clip_low
@@ -98,6 +98,6 @@ def route(predictions: DataFrame, routing: DataFrame, keys: Keys = DEFAULT_KEYS,
 def usage_share(routed: DataFrame) -> DataFrame:
     """Predictions each model contributes, and their percentage."""
     counted = routed.groupBy("model_used").agg(F.count(F.lit(1)).alias("n"))
-    total = routed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counted.withColumn("_total", total).select(
-        "model_used", "n", F.try_divide(F.col("n") * 100.0, F.col("_total")).alias("pct"))
+    # One row per model, so the total is taken on a handful of rows.
+    total = F.sum("n").over(Window.partitionBy())
+    return counted.select("model_used", "n", F.try_divide(F.col("n") * 100.0, total).alias("pct"))
