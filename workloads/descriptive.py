@@ -250,11 +250,13 @@ ORACLES = {
         f"{_corr('total', m)} AS r FROM weeks" for m in _MEASURES), ["slope", "intercept", "r"]),
                         "master", extra={"weeks": _WEEKS}),
     "rank_correlation": sql(neat_wrap("""
-    SELECT "group", variable, count(*)::BIGINT AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman,
-      abs(corr(rx, ry)) - abs(corr(x, y)) AS difference FROM (
+    SELECT *, abs(spearman) - abs(pearson) AS difference FROM (
+    SELECT "group", variable, count(*)::BIGINT AS n,
+      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
+      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM (
       SELECT *, rank() OVER (PARTITION BY "group", variable ORDER BY x) + (count(*) OVER (PARTITION BY "group", variable, x) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY "group", variable ORDER BY y) + (count(*) OVER (PARTITION BY "group", variable, y) - 1) / 2.0 AS ry
-      FROM long) GROUP BY ALL""", ["pearson", "spearman", "difference"]), "master",
+      FROM long) GROUP BY ALL)""", ["pearson", "spearman", "difference"]), "master",
                             extra={"grouped": _GROUPED.format("master"), "long": " UNION ALL ".join(
                                 f"SELECT \"group\", '{m}' AS variable, {m} AS x, cases AS y FROM grouped WHERE {m} IS NOT NULL AND cases IS NOT NULL"
                                 for m in _RANKED_MEASURES)}),
