@@ -10,7 +10,7 @@ from weekloom.operators.panel import join_population, rebuild
 from weekloom.plans.features import NORMALISED
 from weekloom.session import settled
 from workloads.base import (
-    FOCUS, TRAIN_UNTIL, VALIDATION_UNTIL, WEATHER_COLUMNS, base_table, edges, features, master, neat,
+    FOCUS, TRAIN_UNTIL, VALIDATION_UNTIL, base_table, edges, features, master, neat,
     neat_wrap, panel, population, sql, supplier_panel,
 )
 

@@ -9,7 +9,7 @@ from weekloom.operators import cleaning, panel as panels, weather as weathers
 from weekloom.sources.cases import keep_region_event
 from workloads.base import (
     WEATHER_COLUMNS, counts, daily_weather, entities, interpolated_sql, master, neat, neat_wrap,
-    orders_by_week, panel, sql, supplier_panel, table, weather,
+    panel, sql, supplier_panel, table, weather,
 )
 
 
