@@ -38,13 +38,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(frame: DataFrame) -> DataFrame:
+def settled(frame: DataFrame, name: str = "settled") -> DataFrame:
     """Write a costly intermediate table once and read it back.
 
     For operators that read their input several times. A parquet table, unlike a cache,
     survives the loss of executors, and unlike an RDD checkpoint keeps column pruning.
+    The table goes when the application ends.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(frame.schema).parquet(path)
