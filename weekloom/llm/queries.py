@@ -3,17 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekloom.llm import sharding
+from weekloom.llm import decontamination, quality, search, sharding, shipped
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf}/{name}.parquet")
+
+
+def op1_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_hilbert_shards,)}
-ORACLES: dict[str, str] = {}
+def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top_k(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op8_benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_subword_quality, op5_hilbert_shards, op7_exact_top_k, op8_benchmark_contamination)}
+
+# Words of the benchmark contract; ASCII letters alone are lower-cased.
+_ALNUM_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLES: dict[str, str] = {
+    "op7_exact_top_k": """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+    ranked AS (
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs)
+    SELECT * FROM ranked WHERE rank <= 10""",
+    "op8_benchmark_contamination": f"""
+    WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+    spans AS (
+      SELECT item_id, least(len(w), 10) AS n, unnest(CASE WHEN len(w) > 0 THEN range(1, greatest(len(w) - 9, 1) + 1) ELSE [] END) AS i, w FROM b),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM spans),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    places AS (
+      SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN sizes ON len(w) >= n),
+    found AS (
+      SELECT p.doc_id, p.n, p.p, x.item_id FROM places p JOIN windows x ON x.n = p.n AND x.t = array_to_string(p.w[p.p:p.p + p.n - 1], ' ')),
+    hit AS (SELECT doc_id, count(DISTINCT h)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS h FROM found) GROUP BY doc_id),
+    held AS (
+      SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h
+      FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+}
