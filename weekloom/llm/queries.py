@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, quality, search, sharding, shipped
+from weekloom.llm import decontamination, jaccard, quality, search, sharding, shipped
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
@@ -29,14 +33,33 @@ def op8_benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_subword_quality, op5_hilbert_shards, op7_exact_top_k, op8_benchmark_contamination)}
+    op1_subword_quality, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
 _ALNUM_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+# Words between ASCII white space; ASCII letters alone are lower-cased.
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x20\x09-\x0D]+')")
+
 ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(doc_id, r) AS (
+      SELECT DISTINCT a, a FROM both_ways UNION SELECT b, r FROM reach JOIN both_ways ON a = reach.doc_id),
+    c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op7_exact_top_k": """
     WITH v AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
