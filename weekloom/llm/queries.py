@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, quality, search, sharding, shipped
+from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,22 @@ def op1_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def mix_weights() -> dict[str, Column]:
+    """Target weights of the registered mixture: domains 3 : 2 : 1, English twice any other."""
+    return {
+        "domain": F.when(F.col("domain") == "d0", 3).when(F.col("domain") == "d1", 2).otherwise(1),
+        "lang": F.when(F.col("lang") == "en", 2).otherwise(1)}
+
+
+def source_domain() -> Column:
+    """Three domains, by the last character of the source's name."""
+    return F.concat(F.lit("d"), (F.ascii(F.right(F.col("source"), F.lit(1))) % 3).cast("string"))
+
+
+def op4_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf, "documents"), mix_weights(), domain=source_domain())
+
+
 def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf, "documents"))
 
@@ -33,7 +49,7 @@ def op8_benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_subword_quality, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination)}
+    op1_subword_quality, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
 _ALNUM_WORDS = (
@@ -45,7 +61,59 @@ _WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x20\x09-\x0D]+')")
 
+def _split_sql(source: str, parent: str, name: str) -> str:
+    """Part of the parent's budget for each child, as the operator splits it."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    part = f"PARTITION BY {parent}, full_" if parent else "PARTITION BY full_"
+    return f"""
+      SELECT * REPLACE (CASE WHEN NOT full_ AND place <= odd THEN part + 1 ELSE part END AS part) FROM (
+        SELECT *, left_ - sum(CASE WHEN NOT full_ THEN part END) OVER ({by}) AS odd,
+          row_number() OVER ({part} ORDER BY ratio, {name}) AS place FROM (
+          SELECT *, CASE WHEN full_ THEN capacity ELSE ((weight * left_) // open_)::BIGINT END AS part FROM (
+            SELECT *, budget - coalesce(sum(CASE WHEN full_ THEN capacity END) OVER ({by}), 0) AS left_,
+              sum(CASE WHEN NOT full_ THEN weight END) OVER ({by}) AS open_ FROM (
+              SELECT *, capacity * rest_ <= weight * (budget - before) AS full_ FROM (
+                SELECT *, capacity / weight AS ratio,
+                  coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                  sum(weight) OVER ({by} ORDER BY capacity / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_
+                FROM ({source}))))))"""
+
+
+def mixture_sql(docs: str) -> str:
+    """Common table expressions that end in ``taken`` (doc_id, domain, lang, source, n_tokens, budget, epochs)."""
+    token = r"[^\x20\x09-\x0D]+"
+    domain = "'d' || (ascii(right(source, 1)) % 3)::VARCHAR"
+    domains = _split_sql("""
+      SELECT domain, sum(2 * supply)::HUGEINT AS capacity, CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END::HUGEINT AS weight,
+        (SELECT sum(supply) FROM leaves)::HUGEINT AS budget FROM leaves GROUP BY domain""", "", "domain")
+    langs = _split_sql("""
+      SELECT l.domain, lang, sum(2 * supply)::HUGEINT AS capacity, CASE lang WHEN 'en' THEN 2 ELSE 1 END::HUGEINT AS weight,
+        any_value(d.part)::HUGEINT AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, lang""", "domain", "lang")
+    sources = _split_sql("""
+      SELECT l.domain, l.lang, source, supply, (2 * supply)::HUGEINT AS capacity, 1::HUGEINT AS weight, d.part::HUGEINT AS budget
+      FROM leaves l JOIN langs d USING (domain, lang)""", "domain, lang", "source")
+    return f"""
+    mix_rows AS (
+      SELECT doc_id, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        len(regexp_extract_all(coalesce(text, ''), '{token}'))::BIGINT AS n_tokens FROM {docs}),
+    leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM mix_rows GROUP BY ALL),
+    domains AS ({domains}),
+    langs AS ({langs}),
+    sources AS ({sources}),
+    budgets AS (
+      SELECT domain, lang, source, part::BIGINT AS budget, CASE WHEN supply > 0 THEN (part // supply)::BIGINT ELSE 0 END AS passes,
+        CASE WHEN supply > 0 THEN (part % supply)::BIGINT ELSE 0 END AS rest FROM sources),
+    placed AS (
+      SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-' || passes || '-' || doc_id), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM mix_rows JOIN budgets USING (domain, lang, source)),
+    taken AS (SELECT *, passes + CASE WHEN before < rest THEN 1 ELSE 0 END AS epochs FROM placed)"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_source_mixture": f"""
+    WITH {mixture_sql("documents")}
+    SELECT doc_id, domain, lang, source, unnest(range(epochs))::INT AS epoch, n_tokens, budget AS leaf_tokens FROM taken""",
     "op6_ngram_jaccard": f"""
     WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     s AS (
