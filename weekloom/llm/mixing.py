@@ -114,6 +114,6 @@ def mixture(docs: DataFrame, weights: dict[str, Column], share: float = 1.0, max
 
 def mixed_documents(docs: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents with all their columns, once for each epoch they are taken in."""
-    times = chosen.groupBy(key).agg(F.count("*").cast("int").alias("_times"))
-    rows = docs.join(times, key).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*docs.columns)
+    times = chosen.groupBy(F.col(key).alias("key")).agg(F.count("*").cast("int").alias("times"))
+    rows = docs.select(F.col(key).alias("key"), F.struct("*").alias("row")).join(times, "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -166,28 +166,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str
     return fit([(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32), r.label) for r in held], **settings)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` but the text, with score (probability of label 1) and predicted.
+def probabilities(texts: Texts, gaps: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 for each text of a block."""
+    found, first = features(texts)
+    sums = np.concatenate([[0.0], np.cumsum(gaps[found], dtype=np.float64)])
+    mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
+    return 1 / (1 + np.exp(-(mean + bias)))
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """Per document: key, score (probability of label 1) and predicted.
 
     Null and empty texts have no features: their score is that of the layer's bias alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())
-    kept = [c for c in docs.columns if c != text]
-    frame = docs.select(*kept, F.col(text).alias("_text"))
+    frame = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            yield pa.RecordBatch.from_arrays([part["key"], pa.array(probabilities(texts, *shared.value))], ["key", "score"])
+
+    scored = frame.mapInArrow(scan, frame.drop("text").schema.add("score", "double"))
+    return scored.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.folded())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps, bias = shared.value
-        for part, texts in blocks(batches, "_text"):
-            found, first = features(texts)
-            sums = np.concatenate([[0.0], np.cumsum(gaps[found], dtype=np.float64)])
-            sizes = np.diff(first)
-            mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(sizes, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(len(kept))), pa.array(1 / (1 + np.exp(-(mean + bias))))],
-                [*kept, "score"])
+        for part, texts in blocks(batches, text):
+            yield part.filter(pa.array(probabilities(texts, *shared.value) >= threshold))
 
-    schema = frame.drop("_text").schema.add("score", "double")
-    return frame.mapInArrow(scan, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -203,5 +214,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     empty table gives no rows; repeated rows each get one; other columns are ignored.
     """
     model = train(docs, labels.where(~held_out(key)), key=key, text=text, **settings)
-    rows = docs.select(F.col(key).alias(key), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text).alias(text))
-    return score(rows, model, text, threshold).select(key, "held_out", "score", "predicted")
+    return score(docs, model, key, text, threshold).select(
+        key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -144,6 +144,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
     """Write the documents as one folder per shard, each in slot order, for file pruning."""
-    joined = docs.join(placed.select(key, "shard", "slot"), key)
+    rows = docs.select(F.col(key).alias("key"), F.struct("*").alias("document"))
+    joined = rows.join(placed.select(F.col(key).alias("key"), "shard", "slot"), "key").drop("key")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot") \
         .write.partitionBy("shard").parquet(path)
