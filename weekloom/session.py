@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,13 @@ def settled(frame: DataFrame, name: str = "settled") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to.
+
+    For long chains of settled tables: the files otherwise stay until the driver happens to
+    collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
