@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped
+from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped, suffix_tree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,8 +48,14 @@ def op8_benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op9_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffix_tree.suffix_tree_scores(table(spark, sf, "documents"), held_out)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_subword_quality, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination)}
+    op1_subword_quality, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
+    op9_suffix_tree_scores)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
 _ALNUM_WORDS = (
