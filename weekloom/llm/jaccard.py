@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.components import components
 from weekloom.llm.words import IN_WORD, LOWER, Texts, blocks, joined, mixed
-from weekloom.session import settled
+from weekloom.session import released, settled
 
 #: Counters of shingles in the whole corpus; they only shape the first order.
 SKETCH_BITS = 18
@@ -145,42 +145,43 @@ def room(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Colu
 
 
 def verified(pairs: DataFrame, frame: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b), two keys each, the pairs whose sets are similar.
+    """Of (a, x, b, y), two documents (keys) with the digests of their sets, the similar pairs (a, b).
 
     All partners of ``a`` are compared in the tasks that hold its text, in portions of bounded size.
     """
-    many = settled(pairs.groupBy("a").agg((F.count("*") / MEMBERS).cast("int").alias("more")), "hubs")
+    many = settled(pairs.groupBy("a", "x").agg((F.count("*") / MEMBERS).cast("int").alias("more")), "hubs")
     asked = settled(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
-    texts = settled(frame.join(asked, "key").dropDuplicates(["key"]), "asked-texts")
-    members = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int")).select(
-        "a", "salt", F.col("b").alias("key")).join(texts, "key").select("a", "salt", F.lit(1).alias("kind"), "key", "text")
-    hubs = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("more")))).withColumnRenamed("a", "key").join(
-        texts, "key").select(F.col("key").alias("a"), "salt", F.lit(0).alias("kind"), "key", "text")
+    texts = settled(frame.join(asked, "key"), "asked-texts")
+    salt = F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int")
+    members = pairs.join(many, ["a", "x"]).select(
+        F.col("b").alias("key"), "a", "x", salt.alias("salt"), F.lit(1).alias("kind"), F.col("y").alias("sid")).join(texts, "key")
+    hubs = many.select(
+        F.col("a").alias("key"), "a", "x", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"),
+        F.lit(0).alias("kind"), F.col("x").alias("sid")).join(texts, "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, orders, at = np.zeros(0, dtype=np.uint64), [], (None, None)
+        hub, orders, at = np.zeros(0, dtype=np.uint64), [], None
         for part, texts in blocks(batches, "text"):
             left, right = [], []
-            kinds, ids = part["kind"].to_pylist(), zip(part["a"].to_pylist(), part["salt"].to_pylist(), strict=True)
-            for kind, own, key, tokens in zip(kinds, ids, part["key"].to_pylist(), shingle_sets(texts, size), strict=True):
+            columns = (part[n].to_pylist() for n in ("kind", "a", "x", "salt", "key", "sid"))
+            for kind, a, x, salt, key, sid, tokens in zip(*columns, shingle_sets(texts, size), strict=True):
+                if digest(tokens) != sid:  # another text under the same key
+                    continue
                 if kind == 0:
-                    hub, at = tokens, own
+                    hub, at = tokens, (a, x, salt)
                     orders = [first_of(hub, s, percent) for s in (2, 3)]
                     continue
-                assert own == at
-                n, m = len(hub), len(tokens)
-                if 100 * min(n, m) < percent * max(n, m):
-                    continue
+                assert at == (a, x, salt)
                 if not all(np.isin(first_of(tokens, s, percent), o).any() for s, o in zip((2, 3), orders, strict=True)):
                     continue
-                place = np.minimum(np.searchsorted(hub, tokens), max(n - 1, 0))
-                common = int((hub[place] == tokens).sum()) if n else 0
-                if common and 100 * common >= percent * (n + m - common):
-                    left.append(own[0])
+                place = np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)
+                common = int((hub[place] == tokens).sum())
+                if 100 * common >= percent * (len(hub) + len(tokens) - common):
+                    left.append(a)
                     right.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    rows = hubs.unionByName(members).repartition("a", "x", "salt").sortWithinPartitions("a", "x", "salt", "kind")
     return rows.mapInArrow(compare, "a long, b long")
 
 
@@ -208,15 +209,22 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str =
     shared = settled(tokens.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low"), "shared-tokens")
     lists = settled(tokens.join(shared, "token"), "posting-lists")
+    released(frame.sparkSession)
     name = nodes.select("sid", "node", "n")
 
     def keyed(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) of sets as pairs (a, b) of keys, where the lengths allow a link."""
-        left = name.select(F.col("sid").alias("x"), F.col("node").alias("a"), F.col("n").alias("na"))
-        right = name.select(F.col("sid").alias("y"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(left, "x").join(right, "y").where(long_enough(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    first = settled(keyed(lists.where("sid <> low").select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
+        """Pairs (x, y) of sets with their keys (a, b)."""
+        left = name.select(F.col("sid").alias("x"), F.col("node").alias("a"))
+        right = name.select(F.col("sid").alias("y"), F.col("node").alias("b"))
+        return pairs.join(left, "x").join(right, "y").select("a", "x", "b", "y")
+
+    def fit(n1: str, at1: str, n2: str, at2: str) -> Column:
+        a, b, c, d = (F.col(c) for c in (n1, at1, n2, at2))
+        return long_enough(a, c, percent) & room(a, b, c, d, percent)
+
+    head = lists.where("sid = low").select("token", F.col("n").alias("nx"), F.col("at").alias("ax")).distinct()
+    met = lists.where("sid <> low").join(head, "token").where(fit("nx", "ax", "n", "at"))
+    first = settled(keyed(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
     links = settled(verified(first, frame, size, percent), "links")
     roots = components(links)
 
@@ -234,9 +242,10 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str =
         "token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), "main")
     across = other.join(mate, "token").where(
         (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("rx") < F.col("ry")))
-        & long_enough(F.col("nx"), F.col("ny"), percent)
-        & room(F.col("nx"), F.col("ax"), F.col("ny"), F.col("ay"), percent))
-    second = settled(keyed(across.select("x", "y").distinct()), "pairs")
+        & fit("nx", "ax", "ny", "ay"))
+    # Each pair once, and none that the first round has compared.
+    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    second = settled(keyed(across.join(first.select("x", "y"), ["x", "y"], "left_anti")), "pairs")
     more = verified(second, frame, size, percent)
     roots = components(links.unionByName(more))
 
