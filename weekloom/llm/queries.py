@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped, suffix_tree
+from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffix_array.without_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def mix_weights() -> dict[str, Column]:
     """Target weights of the registered mixture: domains 3 : 2 : 1, English twice any other."""
     return {
@@ -54,7 +59,7 @@ def op9_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_subword_quality, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
+    op1_subword_quality, op2_suffix_array_dedup, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
     op9_suffix_tree_scores)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
@@ -117,6 +122,24 @@ def mixture_sql(docs: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS t FROM (
+      SELECT doc_id, h, unnest(range(len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+    often AS (SELECT t FROM s GROUP BY t HAVING count(*) > 1),
+    hit AS (SELECT doc_id, i FROM s WHERE t IN (SELECT t FROM often)),
+    cut AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit),
+    run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM cut),
+    span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY ALL),
+    gaps AS (
+      SELECT doc_id, r, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY r), 0) AS before FROM span),
+    kept AS (
+      SELECT g.doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY r) AS k
+      FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+    SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE k || substr(h, 2 * last + 1) END)) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_source_mixture": f"""
     WITH {mixture_sql("documents")}
     SELECT doc_id, domain, lang, source, unnest(range(epochs))::INT AS epoch, n_tokens, budget AS leaf_tokens FROM taken""",
