@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
+from weekloom.llm import decontamination, jaccard, lines, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op9_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(table(spark, sf, "documents"), held_out)
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_subword_quality, op2_suffix_array_dedup, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
-    op9_suffix_tree_scores)}
+    op9_suffix_tree_scores, op10_fuzzy_line_dedup)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
 _ALNUM_WORDS = (
