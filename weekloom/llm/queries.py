@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, lines, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
+from weekloom.llm import decontamination, jaccard, licences, lines, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf, "documents"))
+
+
 def mix_weights() -> dict[str, Column]:
     """Target weights of the registered mixture: domains 3 : 2 : 1, English twice any other."""
     return {
@@ -63,7 +67,7 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_subword_quality, op2_suffix_array_dedup, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
+    op1_subword_quality, op2_suffix_array_dedup, op3_licence_scan, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
     op9_suffix_tree_scores, op10_fuzzy_line_dedup)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
