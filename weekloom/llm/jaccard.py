@@ -2,8 +2,9 @@
 
 Two sets of similarity ``t`` or more must share a token among the first n - ceil(t n) + 1 tokens
 of each, under whichever global order both are sorted by. The first order, rare tokens first,
-makes the candidates: posting lists of prefix tokens, cut by length and position. Candidates must
-then also share a prefix token under two unrelated orders before their sets are compared.
+makes the candidates: posting lists of prefix tokens, cut by length, position and a bitmap of each
+set. Candidates must then also share a prefix token under two unrelated orders before their sets
+are compared.
 
 Only connected groups are asked for, so a posting list is not expanded into all its pairs: first
 every set meets the smallest one of each of its lists, then, with the groups that this gives,
@@ -27,6 +28,9 @@ from weekloom.session import released, settled
 #: Counters of shingles in the whole corpus; they only shape the first order.
 SKETCH_BITS = 18
 PART = 4096
+#: Bits of a set's bitmap. Each token turns one over, so two bitmaps differ in no more bits than
+#: their sets in tokens.
+BITMAP = 2048
 #: Partners that one task compares with a set before the next task takes over.
 MEMBERS = 512
 
@@ -61,36 +65,43 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mixed(tokens, 7) >> np.uint64(53)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def rare_first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Sort keys of the first order: the level of the token's counter, then scrambled values."""
     return (levels[bucket(tokens)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, 1) >> np.uint64(6))
 
 
 def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """Per document (key, n, sid: digest of its set), and the level of every counter."""
+    """Per document (key, n, sid: digest of its set, bits: its bitmap), and every counter's level."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for part, texts in blocks(batches, "text"):
-            sizes, sids, seen = [], [], []
+            sizes, sids, seen, bits = [], [], [], []
             for tokens in shingle_sets(texts, size):
                 sizes.append(len(tokens))
                 sids.append(digest(tokens))
                 seen.append(tokens)
+                bits.append(bitmap(tokens))
             counts += np.bincount(bucket(np.concatenate(seen)), minlength=len(counts))
             none = pa.nulls(part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part["key"], pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["key", "n", "sid", "part", "counts"])
+                [part["key"], pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
+                 pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
+                ["key", "n", "sid", "bits", "part", "counts"])
         if counts.any():
             rows = [c.astype(np.uint32).tobytes() for c in counts.reshape(-1, PART)]
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
+                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
                  pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())],
-                ["key", "n", "sid", "part", "counts"])
+                ["key", "n", "sid", "bits", "part", "counts"])
 
-    found = settled(frame.mapInArrow(scan, "key long, n int, sid long, part int, counts binary"), "sets")
+    found = settled(frame.mapInArrow(scan, "key long, n int, sid long, bits array<long>, part int, counts binary"), "sets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -106,7 +117,7 @@ def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows.mapInArrow(add, "part int, counts binary").collect():
         total[r.part * PART:(r.part + 1) * PART] += np.frombuffer(r.counts, dtype=np.int64)
-    return found.where("part is null").select("key", "n", "sid"), np.log2(total + 1).astype(np.uint8)
+    return found.where("part is null").select("key", "n", "sid", "bits"), np.log2(total + 1).astype(np.uint8)
 
 
 def prefixes(frame: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -204,19 +215,21 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str =
     sets, levels = described(frame, size)
     # One row for each distinct set: the smallest key stands for it.
     nodes = settled(sets.where("n > 0").groupBy("sid").agg(
-        F.min("key").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies")), "nodes")
+        F.min("key").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"),
+        F.first("bits").alias("bits")), "nodes")
     tokens = settled(prefixes(frame, levels, size, percent), "prefix-tokens")
     shared = settled(tokens.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low"), "shared-tokens")
     lists = settled(tokens.join(shared, "token"), "posting-lists")
     released(frame.sparkSession)
-    name = nodes.select("sid", "node", "n")
 
     def keyed(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) of sets with their keys (a, b)."""
-        left = name.select(F.col("sid").alias("x"), F.col("node").alias("a"))
-        right = name.select(F.col("sid").alias("y"), F.col("node").alias("b"))
-        return pairs.join(left, "x").join(right, "y").select("a", "x", "b", "y")
+        """Pairs (x, y) of sets with their keys (a, b), where the bitmaps allow a link."""
+        side = nodes.select("sid", "node", "n", "bits")
+        left, right = side.toDF("x", "a", "na", "ba"), side.toDF("y", "b", "nb", "bb")
+        apart = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+        return pairs.join(left, "x").join(right, "y").where(near).select("a", "x", "b", "y")
 
     def fit(n1: str, at1: str, n2: str, at2: str) -> Column:
         a, b, c, d = (F.col(c) for c in (n1, at1, n2, at2))
@@ -229,7 +242,7 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str =
     roots = components(links)
 
     # Second round: only lists that still hold several groups, only pairs across groups.
-    group = settled(name.join(roots.select(F.col("node"), "root"), "node", "left").select(
+    group = settled(nodes.select("sid", "node").join(roots, "node", "left").select(
         "sid", F.coalesce("root", "node").alias("root")), "groups")
     placed = lists.drop("low").distinct().join(group, "sid")
     sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
@@ -245,7 +258,7 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str =
         & fit("nx", "ax", "ny", "ay"))
     # Each pair once, and none that the first round has compared.
     across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    second = settled(keyed(across.join(first.select("x", "y"), ["x", "y"], "left_anti")), "pairs")
+    second = settled(keyed(across).join(first.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
     more = verified(second, frame, size, percent)
     roots = components(links.unionByName(more))
 
