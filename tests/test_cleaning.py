@@ -40,10 +40,46 @@ def test_interpolation_stays_within_the_entity(spark):
 def test_repair_nulls_then_fills(spark):
     frame = spark.createDataFrame([(1, 2023, 1, 10, 20.0), (1, 2023, 2, 9000, 99.0), (1, 2023, 3, 20, 30.0)],
                                   "entity_id int, year int, epi_week int, cases bigint, temp_mean double")
-    got = cleaning.repair_ranges(frame).orderBy("epi_week").collect()
+    bounds = {**cleaning.MASTER_BOUNDS, "cases": (0, 5000)}
+    got = cleaning.repair_ranges(frame, bounds).orderBy("epi_week").collect()
     assert [(r["cases"], r["temp_mean"]) for r in got] == [(10.0, 20.0), (15.0, 25.0), (20.0, 30.0)]
 
 
+def test_high_counts_stay(spark):
+    frame = spark.createDataFrame([(1, 2031, w, n) for w, n in enumerate([6000, 9000, -1, 8000], 1)],
+                                  "entity_id int, year int, epi_week int, cases bigint")
+    got = cleaning.repair_ranges(frame).orderBy("epi_week").collect()
+    assert [r["cases"] for r in got] == [6000.0, 9000.0, 8500.0, 8000.0]
+    assert cleaning.clean_weeks(frame).count() == 4
+
+
+def test_dropped_weeks_are_counted(spark, rows):
+    frame = spark.createDataFrame([("2040", "1"), ("1999", "2"), ("x", "3"), ("2020", "60"), ("2020", "7.5"), ("2020", "7.0")],
+                                  "year string, epi_week string")
+    assert rows(cleaning.dropped_weeks(frame)) == [("unreadable", 2), ("week", 1), ("year", 1)]
+    assert rows(cleaning.clean_weeks(frame)) == [(2020, 7), (2040, 1)]
+
+
+def test_large_counts_are_read_exactly(spark, rows):
+    frame = spark.createDataFrame([("9007199254740993",), ("7.9",), ("7.0",), (None,)], "cases string")
+    assert rows(cleaning.clean_counts(frame)) == [(0,), (0,), (7,), (9007199254740993,)]
+
+
+def test_a_label_with_two_ids_fails(spark):
+    frame = spark.createDataFrame([("a", 1)], "label string, cases int")
+    twice = spark.createDataFrame([("A", 1), ("A", 1)], "label string, entity_id int")
+    assert cleaning.map_labels(frame, twice).count() == 1
+    two = spark.createDataFrame([("A", 1), ("A", 2)], "label string, entity_id int")
+    with pytest.raises(Exception, match="several ids"):
+        cleaning.map_labels(frame, two).collect()
+
+
+def test_interpolation_needs_a_group(spark):
+    frame = spark.createDataFrame([(1, 2023, 1, 1.0)], "entity_id int, year int, epi_week int, x double")
+    with pytest.raises(ValueError):
+        cleaning.interpolate(frame, ["x"], by=[])
+
+
 def test_formats_round_half_even(spark, rows):
     frame = spark.createDataFrame([(1, 2023, 1, 0.0625, 1.2344)], "entity_id bigint, year bigint, epi_week bigint, a double, b double")
     got = cleaning.standard_formats(frame, ["year", "epi_week", "entity_id"])
@@ -89,3 +125,9 @@ def test_positions_count_ties_once(spark, rows):
 def test_iqr_outliers(spark, rows):
     frame = spark.createDataFrame([(float(v), 1.0) for v in [1, 2, 3, 4, 5, 100]], "x double, y double")
     assert rows(cleaning.iqr_outliers(frame, ["x", "y"]), "variable", "n_outliers", "n") == [("x", 1, 6), ("y", 0, 6)]
+
+
+def test_quantiles_keep_the_null_group(spark, rows):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 6.0)], "g string, x double")
+    assert rows(exact_quantiles(frame, "x", {"q": 0.5}, ["g"])) == [("a", 2.0), (None, 4.0)]
+    assert average_ranks(frame, "x", ["g"]).count() == 4

@@ -110,7 +110,17 @@ def test_p_values(spark, r, n, p):
     assert got == pytest.approx(p, rel=1e-5)
 
 
-def test_large_sample_p_value_is_the_normal_tail(spark):
-    r, n = 0.01, 100_000
-    got = spark.createDataFrame([(r, n)], "r double, n int").select(correlation_p_value(F.col("r"), F.col("n")).alias("p")).first()["p"]
-    assert got == pytest.approx(math.erfc(r * math.sqrt((n - 2) / (1 - r * r) / 2)), rel=1e-9)
+def test_large_sample_p_value_tends_to_the_normal_tail(spark):
+    r, n = 0.01, 100_000_000
+    got = spark.createDataFrame([(r / 50, n)], "r double, n int").select(correlation_p_value(F.col("r"), F.col("n")).alias("p")).first()["p"]
+    assert got == pytest.approx(math.erfc(r / 50 * math.sqrt((n - 2) / 2)), rel=1e-5)
+
+
+def test_p_value_has_no_step(spark):
+    pairs = [(0.1, n) for n in range(49_990, 50_011)] + [(0.15, n) for n in range(49_990, 50_011)]
+    got = [r["p"] for r in spark.createDataFrame(pairs, "r double, n int").coalesce(1).select(
+        F.log10(correlation_p_value(F.col("r"), F.col("n"))).alias("p")).collect()]
+    for part in (got[:21], got[21:]):
+        steps = [a - b for a, b in zip(part, part[1:])]
+        assert max(steps) == pytest.approx(min(steps), rel=1e-3) and min(steps) > 0
+

@@ -76,8 +76,8 @@ def test_importance(spark, table):
     assert sum(gain.values()) == pytest.approx(100, abs=0.01) and gain["a"] > gain["b"] > gain["c"]
     ridge = {r["feature"]: r["importance"] for r in importance.linear_importance(spark, models.fit_ridge(table, ["a", "b", "c"])).collect()}
     assert ridge["a"] > ridge["b"] > ridge["c"]
-    for size in (50_000, 40):
-        moved = {r["feature"]: r["importance"] for r in importance.permutation_importance(model, table, rows_per_bucket=size).collect()}
+    for buckets in (1, 16):
+        moved = {r["feature"]: r["importance"] for r in importance.permutation_importance(model, table, buckets=buckets).collect()}
         assert set(moved) == {"a", "b", "c"} and moved["a"] > 80
 
 
@@ -85,10 +85,16 @@ def test_permutation_of_an_unused_feature_is_zero(spark):
     data = [(1, 2023, w, float(w % 7), float(w % 7), 1.0) for w in range(60)]
     frame = spark.createDataFrame(data, "entity_id int, year int, epi_week int, cases double, a double, flat double")
     model = models.fit_forest(frame, ["a", "flat"], trees=5, depth=4)
-    got = {r["feature"]: r["importance"] for r in importance.permutation_importance(model, frame).collect()}
+    got = {r["feature"]: r["importance"] for r in importance.permutation_importance(model, frame, buckets=4).collect()}
     assert got == {"a": 100.0, "flat": 0.0}
 
 
+def test_permutation_moves_rows_once(table):
+    model = models.fit_ridge(table, ["a", "b", "c"])
+    plan = importance.permutation_importance(model, table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(bucket") == 1
+
+
 def test_categories(spark, rows):
     names = ["cases_lag2_norm", "neighbour_cases_lag1", "temp_mean_anomaly_lag3", "precipitation", "heat_index_mean_lag1",
              "week_sin", "population", "temp_max_mean"]

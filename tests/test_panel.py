@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import iso_week, iso_year, week_index, week_label, week_of_index, week_start, year_of_index
 from weekloom.operators import panel, weather
-from weekloom.plans.ingest import case_panel, master_table, weather_weeks
+from weekloom.plans.ingest import case_panel, master_table, replaced_counts, weather_weeks
 
 PANEL = "entity_id int, year int, epi_week int, cases bigint"
 
@@ -45,6 +45,15 @@ def test_densify_first_week_of_the_domain_is_not_doubled(spark):
     assert (dense.count(), dense.agg(F.sum("cases")).first()[0]) == (52, 4)
 
 
+def test_densify_keeps_totals_beside_null_weeks(spark, rows):
+    frame = spark.createDataFrame([(1, 2023, 1, 4), (1, 2023, 3, 5), (1, 2023, None, 100), (2, 2023, None, 7),
+                                   (2, 2023, 2, 1), (2, 2023, 2, 2)], PANEL)
+    dense = panel.densify(frame)
+    assert dense.count() == 2 * 52
+    assert rows(dense.where("cases > 0")) == [(1, 2023, 1, 4), (1, 2023, 3, 5), (2, 2023, 2, 3)]
+    assert rows(panel.rows_without_week(frame)) == [(1, 1, 100), (2, 1, 7)]
+
+
 def test_sources_add_up_or_follow_precedence(spark, rows):
     schema = PANEL + ", source string"
     a = spark.createDataFrame([(1, 2024, 1, 3, "national"), (1, 2024, 2, 5, "national")], schema)
@@ -106,3 +115,14 @@ def test_ingest_to_master(spark):
     assert master.count() == 104 and len(master.columns) == 13
     assert master.where("temp_mean is null").count() == 0
     assert master.where("entity_id = 1 and epi_week = 40").first()["temp_mean"] == 30.0
+
+
+def test_master_keeps_high_counts_and_tells_what_it_replaces(spark, rows):
+    dense = spark.createDataFrame([(1, 2031, w, n) for w, n in enumerate([4800, 9000, 5200], 1)], PANEL)
+    days = spark.createDataFrame([(date(2030, 12, 30) + timedelta(days=i), 25.0, 15.0, 20.0, 120.0, 80.0, 60.0) for i in range(21)], DAYS)
+    weeks = weather_weeks(days)
+    master = master_table(dense, weeks)
+    assert rows(master, "cases", "precipitation") == [(4800.0, 840.0), (5200.0, 840.0), (9000.0, 840.0)]
+    assert {r["column"]: r["n_out_of_range"] for r in replaced_counts(dense, weeks).collect()}["precipitation"] == 0
+    capped = master_table(dense, weeks, bounds={"cases": (0, 5000)})
+    assert sorted(r["cases"] for r in capped.collect()) == [4800.0, 4800.0, 4800.0]

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.ranks import exact_quantiles, melt
 
-Bounds = Mapping[str, tuple[float, float]]
+Bounds = Mapping[str, tuple[float | None, float | None]]
 
-# Plausible ranges of daily weather and of the weekly master table.
+# Plausible ranges of daily weather and of the weekly master table; None is open.
+# Counts and weekly rain have no upper end: what is much depends on the place and its size.
 DAILY_WEATHER_BOUNDS: Bounds = {
     "temp_max": (-5, 45),
     "temp_min": (-5, 45),
@@ -22,19 +23,29 @@ DAILY_WEATHER_BOUNDS: Bounds = {
     "humidity_min": (0, 100),
 }
 MASTER_BOUNDS: Bounds = {
-    "cases": (0, 5000),
+    "cases": (0, None),
     "temp_max_mean": (-5, 45),
     "temp_min_mean": (-5, 45),
     "temp_mean": (-5, 45),
-    "precipitation": (0, 500),
+    "precipitation": (0, None),
     "humidity_mean": (0, 100),
     "heat_index_mean": (-5, 60),
 }
-# Years and weeks a case row may carry.
-YEAR_RANGE = (2018, 2026)
+# First year and weeks a case row may carry. Years have no upper end.
+YEAR_RANGE = (2018, None)
 WEEK_RANGE = (1, 53)
 
 
+def within(value: Column, low: float | None, high: float | None) -> Column:
+    """Whether a value lies in an inclusive range; None is an open end. Null values give null."""
+    held = value.isNotNull() if low is None and high is None else None
+    if low is not None:
+        held = value >= low
+    if high is not None:
+        held = value <= high if held is None else held & (value <= high)
+    return F.when(value.isNotNull(), held)
+
+
 def drop_unknown_labels(rows: DataFrame, label: str, unknown: Sequence[str]) -> DataFrame:
     """Drop rows whose trimmed, upper-case label is null or in ``unknown``."""
     return rows.where(~F.upper(F.trim(F.col(label))).isin(list(unknown)))
@@ -44,9 +55,14 @@ def map_labels(rows: DataFrame, mapping: DataFrame, label: str = "label",
                entity: str = "entity_id") -> DataFrame:
     """Replace a free-text label by its entity id; labels without an id are dropped.
 
-    ``mapping`` has columns ``label`` and ``entity``. Spark broadcasts it if its size allows.
+    ``mapping`` has columns ``label`` and ``entity``. Spark broadcasts it if its size allows. A
+    label listed twice with one id counts once; with different ids the job fails, since its rows
+    would multiply.
     """
-    codes = mapping.select(F.col("label").alias("_code"), F.col(entity))
+    ids = F.collect_set(entity)
+    one = F.when(F.size(ids) > 1, F.raise_error(F.concat(F.lit("label with several ids: "), F.col("_code")))).otherwise(
+        F.get(ids, F.lit(0)))
+    codes = mapping.where(F.col(entity).isNotNull()).groupBy(F.col("label").alias("_code")).agg(one.alias(entity))
     normal = rows.withColumn("_code", F.upper(F.trim(F.col(label))))
     return normal.join(codes, "_code", "inner").drop("_code", label)
 
@@ -59,16 +75,27 @@ def unmapped_labels(rows: DataFrame, mapping: DataFrame, label: str = "label") -
 
 
 def clean_weeks(rows: DataFrame, keys: Keys = DEFAULT_KEYS,
-                years: tuple[int, int] = YEAR_RANGE,
+                years: tuple[int | None, int | None] = YEAR_RANGE,
                 weeks: tuple[int, int] = WEEK_RANGE) -> DataFrame:
-    """Coerce year and week to integers and keep those in range; the rest drops."""
+    """Coerce year and week to integers and keep those in range; ``dropped_weeks`` counts the rest."""
     return (
         rows.withColumns({keys.year: whole_number(keys.year, "int"),
                           keys.week: whole_number(keys.week, "int")})
-        .where(F.col(keys.year).between(*years) & F.col(keys.week).between(*weeks))
+        .where(within(F.col(keys.year), *years) & within(F.col(keys.week), *weeks))
     )
 
 
+def dropped_weeks(rows: DataFrame, keys: Keys = DEFAULT_KEYS,
+                  years: tuple[int | None, int | None] = YEAR_RANGE,
+                  weeks: tuple[int, int] = WEEK_RANGE) -> DataFrame:
+    """How many rows ``clean_weeks`` drops, by reason (unreadable, year, week), in one pass."""
+    year, week = whole_number(keys.year, "int"), whole_number(keys.week, "int")
+    reason = (F.when(year.isNull() | week.isNull(), "unreadable")
+              .when(~within(year, *years), "year").when(~within(week, *weeks), "week"))
+    return rows.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 def clean_counts(rows: DataFrame, count: str = "cases") -> DataFrame:
     """Coerce counts, drop negatives, read null as zero.
 
@@ -83,15 +110,21 @@ def clean_counts(rows: DataFrame, count: str = "cases") -> DataFrame:
 
 
 def whole_number(column: str, type_name: str) -> Column:
-    """Number in a text such as ``7`` or ``7.0``; null if it is none."""
-    return F.col(column).try_cast("double").try_cast(type_name)
+    """Whole number such as ``7`` or ``7.0``; null if it is none or has a fraction.
+
+    Whole numbers of any size are read exactly; only other spellings go through a double.
+    """
+    text = F.trim(F.col(column).cast("string"))
+    number = text.try_cast("double")
+    exact = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(type_name))
+    return F.coalesce(exact, F.when(number == F.floor(number), number.try_cast(type_name)))
 
 
 def limit_ranges(rows: DataFrame, bounds: Bounds) -> DataFrame:
     """Null out values outside their inclusive bounds, column by column."""
     present = {c: b for c, b in bounds.items() if c in rows.columns}
     return rows.withColumns({
-        c: F.when(F.col(c).between(low, high), F.col(c)) for c, (low, high) in present.items()
+        c: F.when(within(F.col(c), low, high), F.col(c)) for c, (low, high) in present.items()
     })
 
 
@@ -99,7 +132,7 @@ def out_of_range_counts(rows: DataFrame, bounds: Bounds) -> DataFrame:
     """Values outside their bounds per column, counted in one pass."""
     present = {c: b for c, b in bounds.items() if c in rows.columns}
     wide = rows.agg(*[
-        F.count_if(~F.col(c).between(low, high)).alias(c) for c, (low, high) in present.items()
+        F.count_if(~within(F.col(c), low, high)).alias(c) for c, (low, high) in present.items()
     ])
     return _to_long(wide, list(present), "n_out_of_range")
 
@@ -140,9 +173,11 @@ def interpolate(rows: DataFrame, columns: Sequence[str], keys: Keys = DEFAULT_KE
     """Fill nulls linearly by row position; edges take the nearest known value.
 
     Filling stays within ``by`` (default: the entity), so neighbouring entities never
-    blend. One sort serves all columns.
+    blend. One sort serves all columns. A group's rows meet in one task, so there must be one.
     """
     groups = list(by) if by is not None else [keys.entity]
+    if not groups:
+        raise ValueError("interpolation needs a group; without one the whole table is one series")
     order = Window.partitionBy(*groups).orderBy(keys.year, keys.week)
     placed = rows.withColumn("_pos", F.row_number().over(order))
     window = _window_sql(groups, [keys.year, keys.week])

@@ -65,42 +65,34 @@ def _shares(spark: SparkSession, features: Sequence[str], values, horizon: int)
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, horizon: int = 0,
-                           rows_per_bucket: int = 50_000, keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Mean squared change of the prediction when one feature is taken from other rows.
-
-    Rows fall into hash buckets and stand in hash order there; a feature moves along a circle
-    within its bucket, which is a permutation of the rows. Every bucket is a random sample of
-    bounded size, so no step orders the whole table in one task. Each feature moves by another
-    distance. All permuted rows are scored in one pass.
+                           buckets: int = 512, keys: Keys = DEFAULT_KEYS) -> DataFrame:
+    """Mean squared change of the prediction when one feature is taken from another row.
+
+    Rows fall into ``buckets`` hash buckets, a fixed number whatever the size of the table, and
+    stand in hash order there; a feature is taken from the next row, and by the last row from the
+    first, which is a permutation of the rows. A row alone in its bucket keeps its values, so a
+    small table wants fewer buckets. The one exchange is on the bucket: every row gets its donor
+    in the window, and only then one copy per feature, which is scored and reduced where it is.
     """
     features = model_features(model)
     stages = PipelineModel(model.stages[1:])
     assembled = model.stages[0].getOutputCol()
-    usable = complete_rows(rows, features)
-    # One number, to size the buckets.
-    buckets = max(1, -(-usable.count() // rows_per_bucket))
     order = F.xxhash64(*[F.col(k) for k in keys.panel], F.lit("permute"))
-    base = usable.select(
-        *keys.panel, F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+    base = complete_rows(rows, features).select(
+        F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.pmod(order, F.lit(buckets)).alias("bucket"), order.alias("_order"))
-    within = Window.partitionBy("bucket")
-    placed = base.select(
-        *keys.panel, "x", "bucket",
-        (F.row_number().over(within.orderBy("_order", *keys.panel)) - 1).alias("place"),
-        F.count(F.lit(1)).over(within).alias("size"))
+    circle = Window.partitionBy("bucket").orderBy("_order", "x")
+    first = F.first("x").over(circle.rowsBetween(Window.unboundedPreceding, 0))
+    placed = base.select("x", F.coalesce(F.lead("x", 1).over(circle), first).alias("donor"))
 
     def scored(table: DataFrame, column: str, name: str) -> DataFrame:
         ready = table.withColumn(assembled, array_to_vector(F.col(column)))
         return stages.transform(ready).withColumnRenamed("y_pred", name).drop(*_MODEL_COLUMNS)
 
-    placed = scored(placed, "x", "before")
-    moved = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(features)))).alias("j"))
-    step = F.lit(1) + F.pmod(F.col("j") - 1, F.greatest(F.col("size") - 1, F.lit(1)))
-    asked = moved.withColumn("source", F.pmod(F.col("place") + step, F.col("size")))
-    donors = placed.select("bucket", F.col("place").alias("source"), F.col("x").alias("donor"))
-    swapped = asked.join(donors, ["bucket", "source"]).withColumn(
-        "permuted", F.transform("x", lambda v, i: F.when(
-            i + 1 == F.col("j"), F.element_at("donor", F.col("j"))).otherwise(v)))
+    moved = scored(placed, "x", "before").select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(len(features)))).alias("j"))
+    swapped = moved.withColumn("permuted", F.transform("x", lambda v, i: F.when(
+        i + 1 == F.col("j"), F.element_at("donor", F.col("j"))).otherwise(v)))
     both = scored(swapped, "permuted", "after")
     change = (F.col("after") - F.col("before")) * (F.col("after") - F.col("before"))
     names = F.array(*[F.lit(f) for f in features])

@@ -56,7 +56,11 @@ def densify(panel: DataFrame, measures: Sequence[str] = ("cases",), keys: Keys =
     Each row fills the weeks up to the entity's next row, so no grid is built and joined: one
     exchange on the entity serves this step and the lag features after it. ``entities`` names
     entities that must be present although they may have no rows at all.
+
+    Rows of one entity and week add up. Rows without a year or week belong to no week and drop;
+    ``rows_without_week`` counts them and what they hold.
     """
+    panel = panel.where(F.col(keys.year).isNotNull() & F.col(keys.week).isNotNull())
     if weeks_per_year is not None:
         panel = panel.where(F.col(keys.week) <= weeks_per_year)
     # Bounded by the number of years. The filter keeps the measure in this branch, so that it
@@ -78,6 +82,8 @@ def densify(panel: DataFrame, measures: Sequence[str] = ("cases",), keys: Keys =
     })
     placed = bounded.withColumn("_at", F.coalesce("_at", "_first"))
     order = Window.partitionBy(keys.entity).orderBy("_at", "_real")
+    same = Window.partitionBy(keys.entity).orderBy("_at").rangeBetween(0, 0)
+    placed = placed.withColumns({m: F.sum(F.coalesce(m, F.lit(0))).over(same) for m in measures})
     begin = F.when(F.lag("_at").over(order).isNull(), F.col("_first")).otherwise(F.col("_at"))
     stop = F.coalesce(F.lead("_at").over(order), F.col("_end")) - 1
     spans = placed.withColumns({"_begin": begin, "_stop": stop})
@@ -95,6 +101,14 @@ def densify(panel: DataFrame, measures: Sequence[str] = ("cases",), keys: Keys =
     return dense.drop("_years")
 
 
+def rows_without_week(panel: DataFrame, measures: Sequence[str] = ("cases",),
+                      keys: Keys = DEFAULT_KEYS) -> DataFrame:
+    """Per entity the rows that lack a year or week and the sums of their measures."""
+    lost = panel.where(F.col(keys.year).isNull() | F.col(keys.week).isNull())
+    return lost.groupBy(keys.entity).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(m) for m in measures])
+
+
 def alignment_report(panel: DataFrame, weather: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Per week: is it in the panel, in the weather table, or in both. Weeks are few."""
     left = panel.select(*keys.time).distinct().withColumn("_in_panel", F.lit(1))
@@ -143,4 +157,4 @@ def rebuild(splits: Mapping[str, DataFrame], keys: Keys = DEFAULT_KEYS) -> DataF
     """Put split tables back together, each row tagged with its split."""
     return combine_sources([
         table.drop("split").withColumn("split", F.lit(name)) for name, table in splits.items()
-    ]).orderBy(*keys.panel)
+    ])

@@ -28,7 +28,7 @@ def distinct_positions(rows: DataFrame, value: str, by: Sequence[str] = (),
                        sums: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per group and distinct value: count ``n``, rows ``before`` it, group ``total``.
 
-    ``sums`` adds further summed columns per distinct value. Group columns must not be null.
+    ``sums`` adds further summed columns per distinct value. A null group is a group.
     """
     groups, extra = list(by), dict(sums or {})
     distinct = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
@@ -45,10 +45,19 @@ def distinct_positions(rows: DataFrame, value: str, by: Sequence[str] = (),
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return placed.join(offsets, [*groups, "_bucket"]).select(
+    return join_groups(placed, offsets, groups, ["_bucket"]).select(
         *groups, value, "n", (F.col("_offset") + F.col("_inside")).alias("before"), "total", *extra)
 
 
+def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str], keys: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """Join on groups, where null meets null, and on keys. Columns of ``left`` come once."""
+    names = {c: f"_right_{c}" for c in (*groups, *keys)}
+    other = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(names[c])) for c in groups] + [F.col(c) == F.col(names[c]) for c in keys]
+    return left.join(other, on, how).drop(*names.values())
+
+
 def exact_quantiles(rows: DataFrame, value: str, probabilities: Mapping[str, float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles, one column per name."""
@@ -86,9 +95,9 @@ def attach_rank(rows: DataFrame, ranks: DataFrame, value: str, by: Sequence[str]
     hot = F.col("n") * hot_share > F.col("total")
     common = ranks.where(hot).select(*keys, F.col("rank").alias(name))
     rare = ranks.where(~hot).select(*keys, F.col("rank").alias(name))
-    near = rows.join(F.broadcast(common), keys, "inner")
-    far = rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(rare, keys, "inner")
-    return near.unionByName(far)
+    near = join_groups(rows, F.broadcast(common), by, [value])
+    far = join_groups(rows, F.broadcast(common.select(*keys)), by, [value], "left_anti")
+    return near.unionByName(join_groups(far, rare, by, [value]))
 
 
 def _bucketed(distinct: DataFrame, value: str) -> DataFrame:

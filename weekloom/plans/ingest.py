@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.cleaning import (
-    DAILY_WEATHER_BOUNDS, MASTER_BOUNDS, clean_counts, clean_weeks, limit_ranges, map_labels,
-    repair_ranges, standard_formats,
+    Bounds, DAILY_WEATHER_BOUNDS, MASTER_BOUNDS, YEAR_RANGE, clean_counts, clean_weeks, limit_ranges,
+    map_labels, out_of_range_counts, repair_ranges, standard_formats,
 )
 from weekloom.operators.panel import (
     combine_sources, densify, join_weather, resolve_overlap, weekly_sum,
@@ -26,7 +26,7 @@ MASTER_ORDER = [
 
 def case_panel(sources: Sequence[DataFrame], mapping: DataFrame, entities: DataFrame | None = None,
                weeks_per_year: int | None = None, source_order: Sequence[str] | None = None,
-               years: tuple[int, int] = (2018, 2026), keys: Keys = DEFAULT_KEYS) -> DataFrame:
+               years: tuple[int | None, int | None] = YEAR_RANGE, keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Clean and union case sources, sum by entity and week, and fill the empty weeks.
 
     With ``source_order`` a week that several sources cover is taken from the first of them;
@@ -47,12 +47,19 @@ def weather_weeks(days: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
     return add_anomalies(weekly_weather(derive_daily(checked, keys=keys), keys=keys), keys=keys)
 
 
-def master_table(panel: DataFrame, weather: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
+def master_table(panel: DataFrame, weather: DataFrame, keys: Keys = DEFAULT_KEYS,
+                 bounds: Bounds = MASTER_BOUNDS) -> DataFrame:
     """Panel and weather joined, repaired by range and interpolation, in standard formats.
 
     Both key sets are unique by construction, so the join cannot create duplicates.
+    ``replaced_counts`` tells how many values ``bounds`` replaces.
     """
-    bounds = {**MASTER_BOUNDS}
     joined = join_weather(panel, weather, keys)
     repaired = repair_ranges(joined, bounds, keys)
     return standard_formats(repaired, MASTER_ORDER, keys=keys)
+
+
+def replaced_counts(panel: DataFrame, weather: DataFrame, keys: Keys = DEFAULT_KEYS,
+                    bounds: Bounds = MASTER_BOUNDS) -> DataFrame:
+    """Per column of the master table the number of values that its range check replaces."""
+    return out_of_range_counts(join_weather(panel, weather, keys), bounds)

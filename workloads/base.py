@@ -221,11 +221,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     FROM panel p LEFT JOIN weather w ON p.year = w.year AND p.epi_week = w.epi_week"""),
     "in_range": (["joined"], """
     SELECT * REPLACE (
-      CASE WHEN cases BETWEEN 0 AND 5000 THEN cases::DOUBLE END AS cases,
+      CASE WHEN cases >= 0 THEN cases::DOUBLE END AS cases,
       CASE WHEN temp_max_mean BETWEEN -5 AND 45 THEN temp_max_mean END AS temp_max_mean,
       CASE WHEN temp_min_mean BETWEEN -5 AND 45 THEN temp_min_mean END AS temp_min_mean,
       CASE WHEN temp_mean BETWEEN -5 AND 45 THEN temp_mean END AS temp_mean,
-      CASE WHEN precipitation BETWEEN 0 AND 500 THEN precipitation END AS precipitation,
+      CASE WHEN precipitation >= 0 THEN precipitation END AS precipitation,
       CASE WHEN humidity_mean BETWEEN 0 AND 100 THEN humidity_mean END AS humidity_mean,
       CASE WHEN heat_index_mean BETWEEN -5 AND 60 THEN heat_index_mean END AS heat_index_mean)
     FROM joined"""),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import iso_week, iso_year, week_index, week_label, week_start
 from weekloom.operators import cleaning, panel as panels, weather as weathers
+from weekloom.plans import ingest
 from weekloom.sources.cases import keep_region_event
 from workloads.base import (
     WEATHER_COLUMNS, counts, daily_weather, entities, interpolated_sql, master, neat, neat_wrap,
@@ -110,6 +111,36 @@ def master_columns(spark, sf):
     return neat(master(spark, sf))
 
 
+def replaced_counts(spark, sf):
+    return ingest.replaced_counts(panel(spark, sf), weather(spark, sf))
+
+
+def _holes(spark, sf):
+    """Counts by week of which some lack the week."""
+    hole = F.pmod(F.col("entity_id") * 7 + F.col("epi_week"), F.lit(9)) == 0
+    return counts(spark, sf).withColumn("epi_week", F.when(~hole, F.col("epi_week")))
+
+
+def densify_totals(spark, sf):
+    """What the dense panel holds and what belongs to no week, by entity."""
+    dense = panels.densify(_holes(spark, sf), entities=entities(spark, sf)).groupBy("entity_id").agg(
+        F.count("*").alias("n_weeks"), F.sum("cases").alias("cases"))
+    lost = panels.rows_without_week(_holes(spark, sf)).select("entity_id", "n_rows", F.col("cases").alias("lost"))
+    return dense.join(lost, "entity_id", "left").select(
+        "entity_id", "n_weeks", "cases", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("lost", F.lit(0)).alias("lost"))
+
+
+def high_counts_master(spark, sf):
+    """Counts in the thousands, by entity, as the master table holds them."""
+    high = panel(spark, sf).withColumn("cases", F.col("cases") * 6000)
+    return ingest.master_table(high, weather(spark, sf)).groupBy("entity_id").agg(
+        F.sum("cases").alias("total"), F.max("cases").alias("most"), F.count("cases").alias("n"))
+
+
+def dropped_weeks(spark, sf):
+    return cleaning.dropped_weeks(_raw_cases(spark, sf), years=(1996, 2000))
+
+
 def source_summary(spark, sf):
     return panels.source_summary(_sources(spark, sf))
 
@@ -200,6 +231,7 @@ def trailing_weather(spark, sf):
 QUERIES = {f.__name__: f for f in (
     cleaned_cases, unmapped_labels, weather_in_range, out_of_range_counts, supplier_date_gaps,
     duplicate_keys, first_of_week, missing_report, interpolated_cases, iqr_outliers, master_columns,
+    replaced_counts, densify_totals, high_counts_master, dropped_weeks,
     source_summary, overlapping_sources, weekly_counts, dense_panel, dense_supplier_panel,
     dense_panel_52, iso_weeks, week_alignment, weeks_without_weather, shared_weeks,
     panel_with_weather, weekly_weather, daily_heat_index, weather_anomalies, past_anomalies,
@@ -213,6 +245,25 @@ _ORDER_ROWS = """
 _WEATHER_DAYS = ["temp_max", "temp_min", "temp_mean", "precipitation", "humidity_max", "humidity_min"]
 
 ORACLES = {
+    "replaced_counts": sql("""
+    SELECT unnest(['cases', 'temp_max_mean', 'temp_min_mean', 'temp_mean', 'precipitation', 'humidity_mean', 'heat_index_mean']) AS column,
+      unnest([count(*) FILTER (WHERE cases < 0), count(*) FILTER (WHERE temp_max_mean NOT BETWEEN -5 AND 45),
+        count(*) FILTER (WHERE temp_min_mean NOT BETWEEN -5 AND 45), count(*) FILTER (WHERE temp_mean NOT BETWEEN -5 AND 45),
+        count(*) FILTER (WHERE precipitation < 0), count(*) FILTER (WHERE humidity_mean NOT BETWEEN 0 AND 100),
+        count(*) FILTER (WHERE heat_index_mean NOT BETWEEN -5 AND 60)]) AS n_out_of_range FROM joined""", "joined"),
+    "densify_totals": sql("""
+    SELECT d.entity_id, (SELECT count(*) FROM calendar) AS n_weeks, coalesce(cases, 0) AS cases, coalesce(n_rows, 0) AS n_rows, coalesce(lost, 0) AS lost
+    FROM domain d LEFT JOIN (
+      SELECT entity_id, sum(cases) FILTER (WHERE (entity_id * 7 + epi_week) % 9 <> 0)::BIGINT AS cases,
+        count(*) FILTER (WHERE (entity_id * 7 + epi_week) % 9 = 0) AS n_rows,
+        sum(cases) FILTER (WHERE (entity_id * 7 + epi_week) % 9 = 0)::BIGINT AS lost FROM counts GROUP BY ALL) USING (entity_id)""",
+        "domain", "calendar", "counts"),
+    "high_counts_master": sql("""
+    SELECT entity_id, sum(6000 * cases)::DOUBLE AS total, max(6000 * cases)::DOUBLE AS most, count(*) AS n FROM panel GROUP BY ALL""", "panel"),
+    "dropped_weeks": sql("""
+    SELECT reason, count(*) AS n_rows FROM (
+      SELECT CASE WHEN try_cast(year AS INT) IS NULL THEN 'unreadable' WHEN try_cast(year AS INT) NOT BETWEEN 1996 AND 2000 THEN 'year' END AS reason
+      FROM raw) WHERE reason IS NOT NULL GROUP BY ALL""", extra={"raw": _RAW}),
     "cleaned_cases": sql("""
     SELECT n_nationkey AS entity_id, year::INT AS year, epi_week::INT AS epi_week,
       sum(coalesce(cases::BIGINT, 0))::BIGINT AS cases
