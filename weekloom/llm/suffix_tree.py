@@ -33,8 +33,10 @@ LEAST_SHARE = 5e-7
 PRIOR = 4.0
 BLOCK_BYTES = 48 << 20
 #: Distinct sequences that a counting task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
 CACHE_BITS = 20
+#: Text bytes worked on at a time.
+BLOCK = 1 << 20
 END_WORD = 0
 
 
@@ -131,7 +133,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, block, np.int32)),
             pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "block", "value", "c"])
 
-    for part, texts in blocks(batches):
+    for part, texts in blocks(batches, "text", BLOCK):
         tokens = Tokens(texts)
         learn = np.asarray(part["learn"].to_numpy(zero_copy_only=False), dtype=bool)
         block = part["block"].to_numpy()
@@ -323,7 +325,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", t
                     v, c = (np.concatenate(x) for x in zip(*own, strict=True))
                     order = np.argsort(v)
                     values, logs, own = v[order], np.log10(c[order] + 1.0), []
-                for part, texts in split(piece, piece["text"], 1 << 22):
+                for part, texts in split(piece, piece["text"], BLOCK):
                     tokens_of = Tokens(texts)
                     if len(values):
                         place = np.minimum(np.searchsorted(values, tokens_of.words), len(values) - 1)
