@@ -181,11 +181,14 @@ def pieces_of(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return text[begin], place[begin] - offsets[text[begin]], sizes, hashes[first[begin]]
 
 
-PIECE = "key long, tag long, start long, starts int, least long, d1 long, d2 long"
+PIECE = "key long, tag long, places array<long>, starts int, least long, d1 long, d2 long"
 
 
 def cut_up(docs: DataFrame, length: int) -> DataFrame:
-    """All pieces of all texts: where they start, their minimiser and digest."""
+    """The different pieces of every text: where they start, their minimiser and digest.
+
+    A text that repeats a line over and over has few of them, with many places.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text", BLOCK):
@@ -195,11 +198,17 @@ def cut_up(docs: DataFrame, length: int) -> DataFrame:
             digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(
                 low.tolist(), (low + starts + length - 1).tolist(), strict=True))
             both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-            rows = pa.array(text)
+            order = np.lexsort((start, both[:, 1], both[:, 0], text))
+            text, start, starts, least, both = text[order], start[order], starts[order], least[order], both[order]
+            fresh = np.ones(len(text), dtype=bool)
+            fresh[1:] = (text[1:] != text[:-1]) | (both[1:] != both[:-1]).any(axis=1)
+            at = np.flatnonzero(fresh)
+            rows = pa.array(text[at])
             yield pa.RecordBatch.from_arrays([
-                part["key"].take(rows), part["tag"].take(rows), pa.array(start), pa.array(starts.astype(np.int32)),
-                pa.array(least.view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                ["key", "tag", "start", "starts", "least", "d1", "d2"])
+                part["key"].take(rows), part["tag"].take(rows),
+                pa.ListArray.from_arrays(pa.array(np.append(at, len(text)).astype(np.int32)), pa.array(start)),
+                pa.array(starts[at].astype(np.int32)), pa.array(least[at].view(np.int64)), pa.array(both[at, 0]), pa.array(both[at, 1])],
+                ["key", "tag", "places", "starts", "least", "d1", "d2"])
 
     return docs.mapInArrow(scan, PIECE)
 
@@ -325,16 +334,18 @@ def digest_spans(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(key, tag, low, high): byte spans of the texts (key, tag, text) that repeated strings cover."""
     pieces = settled(cut_up(docs.where(F.octet_length("text") >= length), length), "pieces")
-    often = settled(pieces.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "minimisers")
+    n = F.sum(F.size("places")).alias("n")
+    often = settled(pieces.groupBy("least").agg(n).where("n > 1").select("least"), "minimisers")
     shared = settled(pieces.join(often, "least"), "shared-pieces")
     released(docs.sparkSession)
     name = ["least", "d1", "d2"]
     # Equal pieces are one; any of them stands for all, they have the same bytes.
     distinct = settled(shared.groupBy(*name).agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("key", "tag", "start", "starts")]), "distinct-pieces")
+        n, F.first(F.get("places", F.lit(0))).alias("start"), *[F.first(c).alias(c) for c in ("key", "tag", "starts")]), "distinct-pieces")
     equal = settled(distinct.where("n > 1").select(*name), "equal-pieces")
     whole = shared.join(equal, name).select(
-        "key", "tag", F.array("start").alias("low"), F.array(F.col("start") + F.col("starts") + length - 1).alias("high"))
+        "key", "tag", F.col("places").alias("low"),
+        F.transform("places", lambda p: p + F.col("starts") + (length - 1)).alias("high"))
     groups = settled(distinct.groupBy("least").agg(F.count("*").alias("others")).where("others > 1"), "piece-groups")
     unclear = distinct.join(groups, "least").withColumn("more", (F.col("others") / PER_TASK).cast("int"))
     laid = settled(with_bytes(docs, unclear, length), "piece-bytes")
