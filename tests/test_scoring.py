@@ -152,3 +152,13 @@ def test_reports(spark):
     by_fold, steady, blocks = walk_forward_report(predictions, panel, folds.block_table(spark, [("x", 2024, 1, 2), ("none", 2030, 1, 9)]))
     assert by_fold.count() == 2 * 3 and steady.where("std_mae <> 0").count() == 0
     assert {r["block"] for r in blocks.collect()} == {"x"}
+
+
+def test_unscorable_rows_count_nowhere(spark):
+    data = [("m", "test", 1, 1, 2023, 1, 4.0, 5.0), ("m", "test", 1, 1, 2023, 2, 9.0, None), ("m", "test", 1, 1, 2023, 3, None, 2.0)]
+    frame = spark.createDataFrame(data, "model string, split string, horizon int, entity_id int, year int, epi_week int, y_real double, y_pred double")
+    assert evaluate.scores(frame, ["model"]).first()["n"] == 1
+    assert evaluate.entity_scores(frame).first()["n"] == 1
+    assert {r["n"] for r in evaluate.full_evaluation(frame).collect()} == {1}
+    assert evaluate.safe_mae(frame, ["model"], 1).first()["n"] == 1
+    assert evaluate.year_errors(frame).first()["n"] == 1

@@ -22,14 +22,18 @@ EVEN_MARGIN = 0.5
 CLOSE_MARGIN = 2.0
 
 
+def usable(predictions: DataFrame) -> DataFrame:
+    """Rows that can be scored: actual and forecast are known. All scores use these rows alone."""
+    return predictions.where(F.col("y_real").isNotNull() & F.col("y_pred").isNotNull())
+
+
 def scores(predictions: DataFrame, by: Sequence[str], describe: bool = False) -> DataFrame:
     """MAE, RMSE, MAPE, R2 and n per group, with mean and largest actual on request."""
-    usable = predictions.where(F.col("y_real").isNotNull() & F.col("y_pred").isNotNull())
     extra = [
         F.avg("y_real").alias("mean_real"), F.max("y_real").alias("max_real"),
         F.var_pop("y_pred").alias("var_pred"),
     ] if describe else []
-    return usable.groupBy(*by).agg(*regression_scores(F.col("y_real"), F.col("y_pred")), *extra)
+    return usable(predictions).groupBy(*by).agg(*regression_scores(F.col("y_real"), F.col("y_pred")), *extra)
 
 
 def rounded(table: DataFrame) -> DataFrame:
@@ -42,13 +46,13 @@ def safe_mae(predictions: DataFrame, by: Sequence[str], min_rows: int = MIN_ROWS
     """MAE, null in groups of fewer than ``min_rows``."""
     mae = F.avg(F.abs(F.col("y_real") - F.col("y_pred")))
     n = F.count(F.lit(1))
-    return predictions.groupBy(*by).agg(F.when(n >= min_rows, mae).alias("mae"), n.alias("n"))
+    return usable(predictions).groupBy(*by).agg(F.when(n >= min_rows, mae).alias("mae"), n.alias("n"))
 
 
 def outbreak_scores(predictions: DataFrame, by: Sequence[str],
                     threshold: float = OUTBREAK_CASES) -> DataFrame:
     """Precision, recall and F1 of ``>= threshold``; 0 where undefined."""
-    return predictions.groupBy(*by).agg(*_outbreak(threshold))
+    return usable(predictions).groupBy(*by).agg(*_outbreak(threshold))
 
 
 def _outbreak(threshold: float) -> list[Column]:
@@ -74,7 +78,7 @@ def auc(predictions: DataFrame, by: Sequence[str], threshold: float = OUTBREAK_C
     group is sorted in one task.
     """
     positive = (F.col("y_real") >= threshold).cast("long")
-    places = distinct_positions(predictions, score, by, {"n_positive": positive})
+    places = distinct_positions(usable(predictions), score, by, {"n_positive": positive})
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     sums = places.groupBy(*by).agg(
         F.sum(rank * F.col("n_positive")).alias("_ranks"),
@@ -87,14 +91,14 @@ def auc(predictions: DataFrame, by: Sequence[str], threshold: float = OUTBREAK_C
 def entity_scores(predictions: DataFrame, threshold: float = OUTBREAK_CASES,
                   keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Regression and outbreak scores per entity in one aggregate."""
-    return predictions.groupBy(keys.entity).agg(
+    return usable(predictions).groupBy(keys.entity).agg(
         *regression_scores(F.col("y_real"), F.col("y_pred")), *_outbreak(threshold))
 
 
 def full_evaluation(predictions: DataFrame, threshold: float = OUTBREAK_CASES,
                     keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Entity rows and one overall row (null entity, level ``global``) from one rollup."""
-    table = predictions.rollup(keys.entity).agg(
+    table = usable(predictions).rollup(keys.entity).agg(
         F.when(F.grouping(keys.entity) == 1, "global").otherwise("entity").alias("level"),
         *regression_scores(F.col("y_real"), F.col("y_pred")), *_outbreak(threshold))
     return table.withColumn("detection_rate", F.col("recall"))
@@ -201,7 +205,7 @@ def ensemble_against_best(score_table: DataFrame, ensemble: str = "ensemble",
 def year_errors(predictions: DataFrame, by: Sequence[str] = ("model",),
                 year: str = "year") -> DataFrame:
     """Mean actual, mean prediction, MAE and n per year."""
-    return predictions.groupBy(*by, year).agg(
+    return usable(predictions).groupBy(*by, year).agg(
         F.avg("y_real").alias("mean_real"), F.avg("y_pred").alias("mean_pred"),
         F.avg(F.abs(F.col("y_real") - F.col("y_pred"))).alias("mae"),
         F.count(F.lit(1)).alias("n"))
@@ -210,7 +214,7 @@ def year_errors(predictions: DataFrame, by: Sequence[str] = ("model",),
 def residual_summary(predictions: DataFrame, by: Sequence[str] = ("model", "split")) -> DataFrame:
     """Mean, population deviation and range of actual minus predicted."""
     residual = F.col("y_real") - F.col("y_pred")
-    return predictions.groupBy(*by).agg(
+    return usable(predictions).groupBy(*by).agg(
         F.avg(residual).alias("mean_residual"), F.stddev_pop(residual).alias("std_residual"),
         F.min(residual).alias("min_residual"), F.max(residual).alias("max_residual"))
 

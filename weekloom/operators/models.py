@@ -10,7 +10,6 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -23,6 +22,7 @@ from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.features import complete_rows, sequence_windows
 from weekloom.operators.folds import assign_folds
 from weekloom.operators.forecast import long_predictions, target_of
+from weekloom.session import settled
 
 SEED = 42
 LAGGED = tuple(range(1, 5))
@@ -76,6 +76,8 @@ def fit_ridge(train: DataFrame, features: Sequence[str] = RIDGE_FEATURES, target
     usable = _usable(train, features, target)
     size = usable.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("deviation")).first()
     n, deviation = size["n"], size["deviation"]
+    if not n:
+        raise ValueError(f"no complete training row for {target}")
     stages = [
         _assembler(usable, features, "raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
@@ -116,7 +118,13 @@ def fit_boosted(train: DataFrame, features: Sequence[str] = BOOSTED_FEATURES, ta
 
 def predict(model: PipelineModel, rows: DataFrame, name: str, horizon: int = 0,
             count: str = "cases", keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Long predictions of a fitted or loaded pipeline over rows with all its features."""
+    """Long predictions of a fitted or loaded pipeline, whatever its kind.
+
+    A flat model takes rows with all its features; a sequence model, which names none, takes the
+    rows of ``sequence_rows``, which carry their target.
+    """
+    if not isinstance(model.stages[0], VectorAssembler):
+        return predict_sequence(model, rows, name, horizon, keys)
     features = model_features(model)
     resolve_features(rows, features)
     scored = model.transform(complete_rows(rows, features))
@@ -177,8 +185,7 @@ def grid_search(train: DataFrame, folds: DataFrame, features: Sequence[str] = BO
     spark, target = train.sparkSession, target_of(horizon, count)
     settings = [dict(zip(grid or BOOSTED_GRID, values))
                 for values in product(*(grid or BOOSTED_GRID).values())]
-    rows = assign_folds(_usable(train, features, target, keep=keys.panel), folds, keys)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = settled(assign_folds(_usable(train, features, target, keep=keys.panel), folds, keys))
     # One number per fold.
     fold_ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
 
@@ -189,17 +196,20 @@ def grid_search(train: DataFrame, folds: DataFrame, features: Sequence[str] = BO
         mae = held.agg(F.avg(F.abs(F.col("y_real") - F.col("y_pred"))).alias("mae")).first()["mae"]
         return index, fold, mae
 
-    try:
-        jobs = [(i, f) for i in range(len(settings)) for f in fold_ids]
-        with ThreadPool(parallelism) as pool:
-            results = pool.starmap(score, jobs)
-    finally:
-        rows.unpersist()
+    jobs = [(i, f) for i in range(len(settings)) for f in fold_ids]
+    with ThreadPool(parallelism) as pool:
+        results = pool.starmap(score, jobs)
     names = {i: ", ".join(f"{k}={v}" for k, v in s.items()) for i, s in enumerate(settings)}
     table = spark.createDataFrame(
         [(i, names[i], f, m) for i, f, m in results], "setting int, params string, fold int, mae double")
-    means = {i: [m for j, _, m in results if j == i and m is not None] for i in range(len(settings))}
-    best = min((i for i in means if means[i]), key=lambda i: sum(means[i]) / len(means[i]))
+    scored = {(i, f): m for i, f, m in results if m is not None}
+    # Settings are compared on folds that some setting could score, and must have all of those.
+    common = sorted({f for _, f in scored})
+    means = {i: sum(scored[i, f] for f in common) / len(common) for i in range(len(settings))
+             if common and all((i, f) in scored for f in common)}
+    if not means:
+        raise ValueError("no setting was scored on all folds")
+    best = min(means, key=means.__getitem__)
     return settings[best], table
 
 
@@ -210,7 +220,8 @@ def out_of_fold(train: DataFrame, folds: DataFrame, fitters: Mapping[str, Fitter
                 count: str = "cases", keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Predictions for every validation week of the folds by models that saw only its past."""
     fold_ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    rows = assign_folds(train, folds, keys)
+    # Every fold and model reads these rows again.
+    rows = settled(assign_folds(train, folds, keys))
     parts = []
     for fold in fold_ids:
         part = rows.where(F.col("fold") == fold)

@@ -124,7 +124,7 @@ def rank_correlation(spark, sf):
 
 def correlation_significance(spark, sf):
     return neat(explore.with_significance(
-        explore.rank_correlation(settled(master(spark, sf)), _MEASURES, FOCUS)))
+        explore.rank_correlation(settled(master(spark, sf)), _RANKED_MEASURES, FOCUS)))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -169,6 +169,34 @@ _SHIFTED = "SELECT total, " + ", ".join(
     f"lag({m}, {k}) OVER (ORDER BY year, epi_week) AS {m}_{k}" for m in _MEASURES for k in range(5)) + " FROM weeks"
 _RANKED_MEASURES = [*_MEASURES, "heat_index_mean", "temp_mean_anomaly", "precipitation_anomaly"]
 
+_RANKED = """
+    SELECT *, abs(spearman) - abs(pearson) AS difference FROM (
+    SELECT "group", variable, count(*)::BIGINT AS n,
+      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
+      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM (
+      SELECT *, rank() OVER (PARTITION BY "group", variable ORDER BY x) + (count(*) OVER (PARTITION BY "group", variable, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY "group", variable ORDER BY y) + (count(*) OVER (PARTITION BY "group", variable, y) - 1) / 2.0 AS ry
+      FROM long) GROUP BY ALL)"""
+_RANKED_INPUT = {"grouped": _GROUPED.format("master"), "long": " UNION ALL ".join(
+    f"SELECT \"group\", '{m}' AS variable, {m} AS x, cases AS y FROM grouped WHERE {m} IS NOT NULL AND cases IS NOT NULL"
+    for m in _RANKED_MEASURES)}
+
+
+def _tail(r: str, steps: int = 200_000) -> str:
+    """Two-sided p of a coefficient by numeric integration: with r the sine of an angle, the
+    density of r is a power of the angle's cosine."""
+    def area(low: str) -> str:
+        # Twelve deviations of the angle hold all that counts.
+        width = f"least(pi() / 2 - {low}, 12 / sqrt(n - 2.0))"
+        return (f"(SELECT sum(pow(cos({low} + {width} * (i + 0.5) / {steps}), n - 3)) "
+                f"FROM range({steps}) t(i)) * {width}")
+    return f"CASE WHEN {r} IS NOT NULL AND n >= 3 THEN {area(f'asin(least(abs({r}), 1.0))')} / ({area('0.0')}) END"
+
+
+def _mark(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' WHEN {p} IS NOT NULL THEN 'ns' END"
+
+
 ORACLES = {
     "week_totals": sql(neat_wrap("SELECT * FROM weeks", ["total", *_MEASURES]), "master", extra={"weeks": _WEEKS}),
     "entity_totals": sql("SELECT entity_id, sum(cases)::BIGINT AS total FROM panel GROUP BY 1", "panel"),
@@ -249,15 +277,9 @@ ORACLES = {
         f"SELECT '{m}' AS variable, regr_slope(total, {m}) AS slope, regr_intercept(total, {m}) AS intercept, "
         f"{_corr('total', m)} AS r FROM weeks" for m in _MEASURES), ["slope", "intercept", "r"]),
                         "master", extra={"weeks": _WEEKS}),
-    "rank_correlation": sql(neat_wrap("""
-    SELECT *, abs(spearman) - abs(pearson) AS difference FROM (
-    SELECT "group", variable, count(*)::BIGINT AS n,
-      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
-      CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM (
-      SELECT *, rank() OVER (PARTITION BY "group", variable ORDER BY x) + (count(*) OVER (PARTITION BY "group", variable, x) - 1) / 2.0 AS rx,
-        rank() OVER (PARTITION BY "group", variable ORDER BY y) + (count(*) OVER (PARTITION BY "group", variable, y) - 1) / 2.0 AS ry
-      FROM long) GROUP BY ALL)""", ["pearson", "spearman", "difference"]), "master",
-                            extra={"grouped": _GROUPED.format("master"), "long": " UNION ALL ".join(
-                                f"SELECT \"group\", '{m}' AS variable, {m} AS x, cases AS y FROM grouped WHERE {m} IS NOT NULL AND cases IS NOT NULL"
-                                for m in _RANKED_MEASURES)}),
+    "rank_correlation": sql(neat_wrap(_RANKED, ["pearson", "spearman", "difference"]), "master", extra=_RANKED_INPUT),
+    "correlation_significance": sql(neat_wrap(f"""
+    SELECT *, {_mark('pearson_p')} AS pearson_mark, {_mark('spearman_p')} AS spearman_mark FROM (
+      SELECT *, {_tail('pearson')} AS pearson_p, {_tail('spearman')} AS spearman_p FROM ({_RANKED}))""",
+        ["pearson", "spearman", "difference", "pearson_p", "spearman_p"]), "master", extra=_RANKED_INPUT),
 }
