@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.decontamination import ALNUM
+from weekloom.llm.sampling import smallest_digests
 from weekloom.llm.words import LOWER, Texts, blocks, joined, mixed, runs
 
 BITS = 14
@@ -194,12 +195,12 @@ def _texts(rows: list[str]) -> Texts:
 
 def sampled_lines(docs: DataFrame, key: str, text: str, n: int) -> list[str]:
     """At most ``n`` lines, one of each document with a small digest of its key, cut at 2000 characters."""
-    drawn = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0).withColumn(
-        "order", F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))))
     lines = F.split("text", "\n")
-    place = F.pmod(F.crc32(F.col("order")), F.size(lines)).cast("int")
-    line = drawn.select("order", F.substring(F.get(lines, place), 1, 2000).alias("line"))
-    return [r.line for r in line.where(F.length("line") > 0).orderBy("order", "line").limit(n).collect()]
+    place = F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.size(lines)).cast("int")
+    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    drawn = smallest_digests(held.select("key", F.substring(F.get(lines, place), 1, 2000).alias("line")), "key", n)
+    rows = drawn.where(F.length("line") > 0).collect()
+    return [r.line for r in sorted(rows, key=lambda r: (r.key is not None, r.key, r.line))]
 
 
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", confirmed: float = 0.5,

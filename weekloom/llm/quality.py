@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.sampling import smallest_digests
 from weekloom.llm.words import BASE, IN_WORD, VALUES, Texts, blocks, joined, mixed
 
 BITS = 16
@@ -136,7 +137,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, key: str, text: str, l
     Where a key has several labels the smallest stands; of repeated documents one.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
-    drawn = known.orderBy(F.md5(F.col("key").cast("string")), "key").limit(rows)
+    drawn = smallest_digests(known, "key", rows)
     # The broadcast side has at most ``rows`` rows of two numbers.
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn), "key")
 
