@@ -26,7 +26,7 @@ from weekloom.llm.words import IN_WORD, LOWER, Texts, blocks, joined, mixed
 from weekloom.session import released, settled
 
 #: Counters of shingles in the whole corpus; they only shape the first order.
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 PART = 4096
 #: Bits of a set's bitmap. Each token turns one over, so two bitmaps differ in no more bits than
 #: their sets in tokens.
@@ -79,7 +79,7 @@ def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """Per document (key, n, sid: digest of its set, bits: its bitmap), and every counter's level."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for part, texts in blocks(batches, "text"):
             sizes, sids, seen, bits = [], [], [], []
             for tokens in shingle_sets(texts, size):
@@ -87,14 +87,15 @@ def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 sids.append(digest(tokens))
                 seen.append(tokens)
                 bits.append(bitmap(tokens))
-            counts += np.bincount(bucket(np.concatenate(seen)), minlength=len(counts))
+            np.add.at(counts, bucket(np.concatenate(seen)), 1)
             none = pa.nulls(part.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [part["key"], pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
                  pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
                 ["key", "n", "sid", "bits", "part", "counts"])
         if counts.any():
-            rows = [c.astype(np.uint32).tobytes() for c in counts.reshape(-1, PART)]
+            # One byte a counter: what a task has seen 255 times is common wherever the line is drawn.
+            rows = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)]
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays(
                 [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
@@ -108,16 +109,17 @@ def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             for part, row in zip(batch["part"].to_pylist(), batch["counts"], strict=True):
                 sums.setdefault(part, np.zeros(PART, dtype=np.int64))
-                sums[part] += np.frombuffer(row.as_py(), dtype=np.uint32)
+                sums[part] += np.frombuffer(row.as_py(), dtype=np.uint8)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sums, pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+            [pa.array(sums, pa.int32()), pa.array([np.minimum(s, (1 << 32) - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())],
+            ["part", "counts"])
 
     # Every task of a part adds up the rows it reads; the parts have one fixed size in total.
     rows = found.where("part is not null").select("part", "counts").repartition("part")
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows.mapInArrow(add, "part int, counts binary").collect():
-        total[r.part * PART:(r.part + 1) * PART] += np.frombuffer(r.counts, dtype=np.int64)
-    return found.where("part is null").select("key", "n", "sid", "bits"), np.log2(total + 1).astype(np.uint8)
+        total[r.part * PART:(r.part + 1) * PART] += np.frombuffer(r.counts, dtype=np.uint32)
+    return found.where("part is null").select("key", "n", "sid", "bits"), np.minimum(2 * np.log2(total + 1), 63).astype(np.uint8)
 
 
 def prefixes(frame: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
