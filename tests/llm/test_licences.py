@@ -33,3 +33,29 @@ def test_model_from_the_corpus_and_empty_tables(documents):
     got = licences.licence_scan(docs)
     assert [r.doc_id for r in got.collect() if r.n_notices] == [6] and got.count() == 7
     assert licences.licence_scan(docs.limit(0)).count() == 0
+
+
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License."""
+
+
+def test_wrapped_short_and_diluted_notices(documents, model):
+    prose = " ".join(PLAIN * 12)
+    narrow = "\n".join("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                       "Public License as published by the Free Software Foundation.".split())
+    texts = [GPL, BSD, MIT, APACHE, "Intro\n\n" + GPL + "\n\n" + PLAIN[0], PLAIN[0] + "\n" + BSD + "\n" + PLAIN[1], "All rights reserved.",
+             "Copyright 2020 Someone. All rights reserved.", f"{prose} Released under the MIT License. {prose}", narrow,
+             "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software",
+             "\n".join(PLAIN * 5), "all rights\nof way are\nreserved", "Released under the MIT License.\nReleased under the MIT License."]
+    got = [r for r in sorted(licences.licence_scan(documents(texts), model=model).collect(), key=lambda r: r.doc_id)]
+    assert [r.families for r in got[:10]] == ["gpl", "bsd", "mit", "apache", "gpl", "bsd", "proprietary", "proprietary", "mit", "gpl"]
+    assert [r.families for r in got[11:]] == ["", "", "mit"]
+    assert [list(got[i].places) for i in (1, 3, 5)] == [[0, 1], [0, 1], [1, 2]] and list(got[4].places)[:2] == [2, 3]
+    assert [got[i].n_notices for i in (0, 1, 2, 3, 13)] == [1, 1, 1, 1, 2]

@@ -4,6 +4,10 @@ A sparse logistic regression over hashed words and word pairs names the licence
 line. It learns from notices made out of templates and from lines of the corpus that resemble no
 template; the probability below which a line is of no known family is calibrated on lines kept
 from learning. A prediction stands only if the line also holds enough of a template of its family.
+
+Notices are also wrapped, or stand inside long lines of prose. So stretches of a paragraph (lines up
+to one without words) that hold enough of a template within twice its length are classified too,
+whatever lines they lie on.
 """
 
 from __future__ import annotations
@@ -59,6 +63,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
@@ -92,6 +97,48 @@ class Paragraphs:
         return (np.concatenate([mixed(self.words, 3) >> shift, pairs[inside] >> shift]).astype(np.int64),
                 np.concatenate([of, of[:-1][inside]]))
 
+    @classmethod
+    def of_words(cls, pieces: list[np.ndarray]) -> "Paragraphs":
+        """Pieces of words, as lines of one text."""
+        out = cls.__new__(cls)
+        out.text, out.number = np.zeros(len(pieces), dtype=np.int64), np.arange(len(pieces))
+        out.first = np.cumsum([0, *map(len, pieces)])
+        out.words = np.concatenate([np.zeros(0, dtype=np.uint64), *pieces])
+        return out
+
+    def paragraphs(self) -> np.ndarray:
+        """Number of each line's paragraph: lines of one text without a line without words between."""
+        blank = np.diff(self.first) == 0
+        new = np.ones(len(self), dtype=bool)
+        new[1:] = (self.text[1:] != self.text[:-1]) | blank[1:] | blank[:-1]
+        return np.cumsum(new)
+
+    def stretches(self, confirmed: float) -> list[tuple[int, int, int, np.ndarray]]:
+        """(family, first word, word after the last, template) of what holds enough of a template."""
+        if len(self.words) < 2:
+            return []
+        of = np.repeat(self.paragraphs(), np.diff(self.first))
+        pairs = joined(self.words, 2)
+        at = np.searchsorted(ALL_PAIRS, pairs).clip(max=len(ALL_PAIRS) - 1)
+        hits = np.flatnonzero((ALL_PAIRS[at] == pairs) & (of[1:] == of[:-1]))
+        out = []
+        for label, family in enumerate(FAMILIES):
+            for template in SHINGLES[family]:
+                mine = hits[np.isin(pairs[hits], template)]
+                need = needed(len(template), confirmed)
+                if len(mine) < need:
+                    continue
+                low, high = mine[:len(mine) - need + 1], mine[need - 1:]
+                close = np.flatnonzero((high - low <= 2 * len(template)) & (of[low] == of[high]))
+                # Overlapping stretches are one.
+                ends = np.maximum.accumulate(high[close]) if len(close) else close
+                cuts = np.flatnonzero(low[close][1:] > ends[:-1]) + 1
+                for group in np.split(close, cuts) if len(close) else []:
+                    a, b = int(low[group[0]]), int(high[group[-1]]) + 2
+                    if holds(template, np.unique(pairs[a:b - 1]), confirmed):
+                        out.append((label, a, b, template))
+        return out
+
     def words_of(self, i: int) -> np.ndarray:
         return self.words[self.first[i]:self.first[i + 1]]
 
@@ -107,13 +154,27 @@ def hashed_words(text: str) -> np.ndarray:
 
 
 def template_share(words: np.ndarray, family: str | None = None) -> float:
-    """Largest share of a template's word pairs that a line holds."""
+    """Largest share of a template's word pairs that a line holds; a template of one or two pairs
+    is held as a whole or not at all."""
     have = shingles(words)
     chosen = FAMILIES if family is None else (family,)
-    return max(float(np.isin(t, have).mean()) for f in chosen for t in SHINGLES[f])
+    shares = ((len(t), float(np.isin(t, have).mean())) for f in chosen for t in SHINGLES[f])
+    return max(share if size > 2 else float(share == 1) for size, share in shares)
+
+
+def needed(size: int, confirmed: float) -> int:
+    """Pairs of a template of ``size`` pairs that confirm it; all of them if it has one or two."""
+    return max(1, int(np.ceil(confirmed * size - 1e-9))) if size > 2 else size
+
+
+def holds(template: np.ndarray, have: np.ndarray, confirmed: float) -> bool:
+    return int(np.isin(template, have).sum()) >= needed(len(template), confirmed)
 
 
 SHINGLES = {f: [shingles(hashed_words(t)) for t in texts] for f, texts in TEMPLATES.items()}
+ALL_PAIRS = np.unique(np.concatenate([t for texts in SHINGLES.values() for t in texts]))
+#: Words on each side of a stretch that the classifier sees with it.
+AROUND = 3
 
 
 @dataclass
@@ -203,10 +264,44 @@ def sampled_lines(docs: DataFrame, key: str, text: str, n: int) -> list[str]:
     return [r.line for r in sorted(rows, key=lambda r: (r.key is not None, r.key, r.line))]
 
 
+def found_notices(lines: Paragraphs, model: Model, confirmed: float) -> list[tuple[int, int, str]]:
+    """(first line, last line, family) of all notices, in order; lines count through the block."""
+    odds = model.probabilities(lines)
+    label, sure = odds.argmax(axis=1), odds.max(axis=1)
+    single = {(int(i), FAMILIES[label[i]]) for i in np.flatnonzero((label < len(FAMILIES)) & (sure >= model.threshold))
+              if template_share(lines.words_of(i), FAMILIES[label[i]]) >= confirmed}
+    stretches = lines.stretches(confirmed)
+    of = np.repeat(np.arange(len(lines)), np.diff(lines.first))
+    part = lines.paragraphs()
+    pieces = []
+    for _, a, b, _ in stretches:
+        # The paragraph's lines, and its words.
+        first, last = np.searchsorted(part, part[of[a]], "left"), np.searchsorted(part, part[of[a]], "right")
+        pieces.append(lines.words[max(a - AROUND, lines.first[first]):min(b + AROUND, lines.first[last])])
+    odds = model.probabilities(Paragraphs.of_words(pieces))
+    spans: list[tuple[int, int, str]] = []
+    for (k, a, b, template), row in zip(stretches, odds, strict=True):
+        if row.argmax() == k and row[k] >= model.threshold:
+            low, high, family = int(of[a]), int(of[b - 1]), FAMILIES[k]
+            # Lines that are notices each by themselves stay so, unless they hold more together.
+            apart = all((i, family) in single for i in range(low, high + 1))
+            if not apart or np.isin(template, shingles(lines.words[a:b])).sum() > max(
+                    np.isin(template, shingles(lines.words_of(i))).sum() for i in range(low, high + 1)):
+                spans.append((low, high, family))
+    out: list[tuple[int, int, str]] = []
+    for low, high, family in sorted(spans, key=lambda x: (x[2], x[0], x[1])):
+        if out and out[-1][2] == family and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]), family)
+        else:
+            out.append((low, high, family))
+    covered = {(i, family) for low, high, family in out for i in range(low, high + 1)}
+    return sorted(out + [(i, i, family) for i, family in single - covered])
+
+
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", confirmed: float = 0.5,
                  sample: int = SAMPLE_LINES, model: Model | None = None) -> DataFrame:
     """Per document: key, n_lines, n_notices, families (sorted, comma-joined) and places (numbers,
-    from 0, of the lines that are notices).
+    from 0, of the lines that notices cover; one that is wrapped covers several).
 
     Null and empty texts have no lines; repeated rows each get a row; an empty table gives none;
     other columns are ignored. The model, unless given, learns from at most ``sample`` lines.
@@ -220,17 +315,15 @@ def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", confi
         model = shared.value
         for part, texts in blocks(batches, "text", 1 << 20):
             lines = Paragraphs(texts)
-            odds = model.probabilities(lines)
-            label, sure = odds.argmax(axis=1), odds.max(axis=1)
-            found: list[list[tuple[int, str]]] = [[] for _ in range(len(texts))]
-            for i in np.flatnonzero((label < len(FAMILIES)) & (sure >= model.threshold)):
-                family = FAMILIES[label[i]]
-                if template_share(lines.words_of(i), family) >= confirmed:
-                    found[lines.text[i]].append((int(lines.number[i]), family))
+            found: list[list[str]] = [[] for _ in range(len(texts))]
+            places: list[set[int]] = [set() for _ in range(len(texts))]
+            for low, high, family in found_notices(lines, model, confirmed):
+                found[lines.text[low]].append(family)
+                places[lines.text[low]].update(lines.number[low:high + 1].tolist())
             yield pa.RecordBatch.from_arrays([
                 part["key"], pa.array(np.bincount(lines.text, minlength=len(texts)).astype(np.int64)),
-                pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted({k for _, k in f})) for f in found]),
-                pa.array([[n for n, _ in f] for f in found], pa.list_(pa.int32()))],
+                pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted(set(f))) for f in found]),
+                pa.array([sorted(n) for n in places], pa.list_(pa.int32()))],
                 ["key", "n_lines", "n_notices", "families", "places"])
 
     return frame.mapInArrow(scan, "key long, n_lines long, n_notices long, families string, places array<int>").withColumnRenamed("key", key)
