@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(frame: DataFrame, name: str = "settled") -> DataFrame:
-    """Write a costly intermediate table once and read it back.
+def settled(frame: DataFrame | Sequence[DataFrame], name: str = "settled") -> DataFrame:
+    """Write a costly intermediate table once and read it back. Several frames of one schema are
+    written one after the other, so that none waits in memory or in a plan for the others.
 
     For operators that read their input several times. A parquet table, unlike a cache,
     survives the loss of executors, and unlike an RDD checkpoint keeps column pruning.
     The table goes when the application ends.
     """
+    frames = [frame] if isinstance(frame, DataFrame) else frame
+    frame = frames[0]
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    for part in frames:
+        part.write.mode("append").parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
