@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontamination, jaccard, licences, lines, mixing, quality, search, sharding, shipped, suffix_array, suffix_tree
+from weekloom.llm import (
+    compression, decontamination, extraction, jaccard, licences, lines, mixing, negatives, quality, search, sharding, shipped,
+    suffix_array, suffix_tree)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,9 +68,24 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    relabelled = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, relabelled=relabelled)
+
+
+def op12_dual_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = compression.compressed(table(spark, sf, "embeddings"))
+    return compression.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_subword_quality, op2_suffix_array_dedup, op3_licence_scan, op4_source_mixture, op5_hilbert_shards, op6_ngram_jaccard, op7_exact_top_k, op8_benchmark_contamination,
-    op9_suffix_tree_scores, op10_fuzzy_line_dedup)}
+    op9_suffix_tree_scores, op10_fuzzy_line_dedup, op11_hard_negatives, op12_dual_tree_codes, op13_main_text)}
 
 # Words of the benchmark contract; ASCII letters alone are lower-cased.
 _ALNUM_WORDS = (
@@ -129,6 +146,45 @@ def mixture_sql(docs: str) -> str:
     taken AS (SELECT *, passes + CASE WHEN before < rest THEN 1 ELSE 0 END AS epochs FROM placed)"""
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _lloyd_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Vectors, codebooks of every round (b0 to b4) and the last assignment (near)."""
+    step = f"(len(w) // {parts})"
+    steps = [f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings WHERE {_USABLE}),
+    parts AS MATERIALIZED (SELECT vec_id, p, w[p * {step} + 1:(p + 1) * {step}] AS w FROM v, (SELECT unnest(range({parts})) AS p)),
+    b0 AS MATERIALIZED (
+      SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w FROM parts
+      WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))"""]
+    near = """(
+      SELECT vec_id, p, w, n.e AS e, n.d AS d FROM (
+        SELECT x.vec_id, x.p, any_value(x.w) AS w,
+          min(struct_pack(d := list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := b.e)) AS n
+        FROM parts x JOIN {book} b ON x.p = b.p GROUP BY x.vec_id, x.p))"""
+    for r in range(rounds):
+        steps.append(f"""
+    near{r} AS MATERIALIZED {near.format(book=f"b{r}")},
+    mean{r} AS MATERIALIZED (
+      SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS w FROM (
+        SELECT p, e, i, sum(x)::DOUBLE AS s, count(*) AS n FROM (
+          SELECT p, e, unnest(w) AS x, unnest(range(len(w))) AS i FROM near{r}) GROUP BY p, e, i) GROUP BY p, e),
+    b{r + 1} AS MATERIALIZED (
+      SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM b{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e)""")
+    return ",".join([*steps, f"\n    near AS MATERIALIZED {near.format(book=f'b{rounds}')}"])
+
+
+def _article_sql(html: str) -> str:
+    """The lines of the article element: no comments, tags or references, white space squeezed."""
+    inner = rf"regexp_extract({html}, '<article>(.*)</article>', 1, 's')"
+    for old, new in ((r"\s+", " "), (r"</?(p|h1)>", chr(10)), (r"<[^>]*>", ""), (r"&lt;?", "<"), (r"&gt;?", ">"), (r"&quot;?", chr(34)),
+                     (r"&#x27;", "''"), (r"&amp;?", "&"), (r" *\n *", chr(10)), (r"\n+", chr(10)), (r"  +", " ")):
+        inner = f"regexp_replace({inner}, '{old}', '{new}', 'g')"
+    return f"trim({inner}, ' ' || chr(10))"
+
+
 ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": """
     WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -193,4 +249,31 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op11_hard_negatives": f"""
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+      FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+    pairs AS MATERIALIZED (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+        list_sum(list_transform(list_zip(a.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5""",
+    "op12_dual_tree_codes": f"""{_lloyd_sql()},
+    coded AS (
+      SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near GROUP BY vec_id),
+    digest AS (
+      SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (
+        SELECT p, e, unnest(w) AS x, unnest(range(len(w))) AS i FROM b4))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN v USING (vec_id), digest""",
+    "op13_main_text": f"""
+    SELECT page_id, url, {_article_sql("coalesce(html, '')")} AS text, len(text)::BIGINT AS n_chars FROM pages""",
 }
