@@ -1,4 +1,9 @@
+import csv
+import datetime
+import io
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.ml import Pipeline
@@ -91,3 +96,69 @@ def test_model_round_trip(spark, tmp_path):
     model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="f")]).fit(frame)
     tables.save_model(model, str(tmp_path / "m"))
     assert tables.load_model(str(tmp_path / "m")).stages[0].getInputCols() == ["a", "b"]
+
+
+def _written(path, header, rows, separator, encoding="utf-8", mark="", newline="\n"):
+    out = io.StringIO()
+    writer = csv.writer(out, delimiter=separator, lineterminator=newline)
+    writer.writerow(header)
+    writer.writerows([[row.get(c, "") for c in header] for row in rows])
+    path.write_bytes((mark + out.getvalue()).encode(encoding))
+
+
+def test_each_file_has_its_own_dialect_and_records_span_splits(spark, tmp_path):
+    """Quoted line feeds are put together although every file is cut into many splits."""
+    random.seed(7)
+    values = ["x,y", "p;q", 'say "hi"', "é ñ", "two\nlines", "a\n\nb", '5" x', '"', '""\n"', "q\t\nr;,\n", ""]
+    want = []
+    for n, (separator, header, encoding, mark, newline) in enumerate([
+            (",", "abc", "utf-8", "﻿", "\n"), (";", "cab", "latin-1", "", "\r\n"), (";", "bc", "utf-8", "", "\n"), ("\t", "abcd", "utf-8", "", "\r\n")]):
+        given = [{c: random.choice([f"{n}-{i}", *values]) for c in header} for i in range(300)]
+        _written(tmp_path / f"{n}.csv", list(header), given, separator, encoding, mark, newline)
+        want += [tuple(row.get(c) or None for c in "abcd") for row in given]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = read_delimited(spark, str(tmp_path))
+        assert got.columns == ["a", "b", "c", "d"]
+        assert Counter(tuple(r) for r in got.collect()) == Counter(r for r in want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quotes_that_never_close_are_characters(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text('a,b\n1,5" pipe\n2,x"y\n3,"open\n4,z\n')
+    assert rows(read_delimited(spark, str(tmp_path))) == [("1", '5" pipe'), ("2", 'x"y'), ("3", "open"), ("4", "z")]
+
+
+def test_chosen_columns_and_the_file_of_a_row(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n\na,b\n")
+    (tmp_path / "b.csv").write_text("b;c;a\n4;5;3\n")
+    got = read_delimited(spark, str(tmp_path), ["a"], columns=["c", "a"], file_column="file")
+    assert [(f.rsplit("/", 1)[1], c, a) for f, c, a in rows(got)] == [("a.csv", None, "1"), ("b.csv", "5", "3")]
+    with pytest.raises(ValueError, match="a.csv lacks columns .'c'"):
+        read_delimited(spark, str(tmp_path), ["c"])
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="no header line"):
+        read_delimited(spark, str(tmp_path / "empty"))
+
+
+def test_payloads_that_cannot_be_read_are_listed(spark, tmp_path, rows):
+    names = list(weather.DAILY_VARIABLES)
+    good = {"daily": {"time": ["2024-01-01", "2024-01-02"], names[0]: [1.0, None]}}
+    bad = {
+        "cut.json": json.dumps(good)[:-9], "text.json": "no json", "other.json": json.dumps({"error": True}),
+        "uneven.json": json.dumps({"daily": {"time": ["2024-01-01"], names[3]: [1.0, 2.0]}}),
+        "day.json": json.dumps({"daily": {"time": ["2024-01-01", "never"], names[0]: [1.0, 2.0]}})}
+    (tmp_path / "good.json").write_text(json.dumps(good, indent=1))
+    for name, text in bad.items():
+        (tmp_path / name).write_text(text)
+    payloads = weather.read_payloads(spark, str(tmp_path))
+    assert rows(weather.daily_rows(payloads), "date", "temp_max", "temp_min") == [
+        (datetime.date(2024, 1, 1), 1.0, None), (datetime.date(2024, 1, 2), None, None)]
+    found = {file.rsplit("/", 1)[1]: reason for file, reason in rows(weather.rejected_payloads(payloads))}
+    assert found == {
+        "cut.json": "not a document of daily values", "text.json": "not a document of daily values", "other.json": "no days",
+        "uneven.json": "precipitation_sum: 2 values for 1 days", "day.json": "a day that is no date"}

@@ -40,6 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settled(frame: DataFrame | Sequence[DataFrame], name: str = "settled") -> DataFrame:
     """Write a costly intermediate table once and read it back. Several frames of one schema are
     written one after the other, so that none waits in memory or in a plan for the others.
@@ -49,15 +57,11 @@ def settled(frame: DataFrame | Sequence[DataFrame], name: str = "settled") -> Da
     The table goes when the application ends.
     """
     frames = [frame] if isinstance(frame, DataFrame) else frame
-    frame = frames[0]
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = frames[0].sparkSession
+    path = scratch(spark, name)
     for part in frames:
         part.write.mode("append").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frames[0].schema).parquet(path)
 
 
 def released(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +36,15 @@ UNKNOWN_LABELS = ["SIN DATO", "NAN", ""]
 COMMON = ["year", "epi_week", "label", "cases", "source"]
 
 
-def read_national_cases(spark: SparkSession, path: str, source: str,
+def read_national_cases(spark: SparkSession, path: str | Sequence[str], source: str,
                         region: int = NATIONAL_REGION, event: str = NATIONAL_EVENT) -> DataFrame:
-    """One region and one event of the national file, without unknown districts."""
+    """One region and one event of the national files, without unknown districts.
+
+    The files of a path need not agree in separator, encoding or order of columns.
+    """
     required = [*NATIONAL_COLUMNS, NATIONAL_REGION_COLUMN, NATIONAL_DISTRICT_COLUMN,
                 NATIONAL_EVENT_COLUMN]
-    rows = read_delimited(spark, path, required)
+    rows = read_delimited(spark, path, required, columns=required)
     kept = keep_region_event(rows, region, event)
     return _common(kept, NATIONAL_COLUMNS, source)
 
@@ -59,9 +62,9 @@ def keep_region_event(rows: DataFrame, region: int, event: str,
     )
 
 
-def read_city_cases(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_city_cases(spark: SparkSession, path: str | Sequence[str], source: str) -> DataFrame:
     """The city file without rows whose district is unknown."""
-    rows = read_delimited(spark, path, list(CITY_COLUMNS))
+    rows = read_delimited(spark, path, list(CITY_COLUMNS), columns=list(CITY_COLUMNS))
     known = drop_unknown_labels(rows, "departamento_residencia", UNKNOWN_LABELS)
     return _common(known, CITY_COLUMNS, source)
 

@@ -5,9 +5,9 @@ weather, customers of a nation for its population. Supplier panels (line items b
 exercise a domain of entities that grows with the data.
 """
 
-from workloads import descriptive, feature, forecasts, learned, preparation, scoring
+from workloads import descriptive, feature, forecasts, landed, learned, preparation, scoring
 
-MODULES = (preparation, descriptive, feature, forecasts, scoring, learned)
+MODULES = (landed, preparation, descriptive, feature, forecasts, scoring, learned)
 
 
 def all_queries():
