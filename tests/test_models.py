@@ -1,8 +1,13 @@
+import json
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weekloom.operators import folds, importance, models
+from weekloom.operators.features import sequence_windows
+from weekloom.sources import bundles
 
 SCHEMA = "entity_id int, year int, epi_week int, split string, cases double, a double, b double, c double"
 
@@ -106,3 +111,102 @@ def test_categories(spark, rows):
     assert rows(importance.dominant_changes(table)) == [(0, 4, "Other", "Other", False)]
     assert [r["name"] for r in importance.top_features(table.where("horizon = 0"), 8).orderBy("importance").collect()][:3] == [
         "cases (lag 2)", "neighbour cases (lag 1)", "temp mean anomaly (lag 3)"]
+
+
+def test_first_rounds_are_a_fit_with_fewer_rounds(table):
+    train, held = table.where("split = 'train'"), table.where("split = 'test'")
+    for setting in ({"maxDepth": 3}, {"maxDepth": 2, "subsamplingRate": 0.8, "stepSize": 0.3}):
+        whole = models.fit_boosted(train, ["a", "b", "c"], maxIter=9, **setting)
+        for rounds in (1, 4, 9):
+            apart = models.fit_boosted(train, ["a", "b", "c"], maxIter=rounds, **setting)
+            want = models.predict(apart, held, "m").orderBy("entity_id", "epi_week").toPandas()
+            got = models.predict(models.staged(whole, rounds), held, "m").orderBy("entity_id", "epi_week").toPandas()
+            assert np.allclose(got["y_pred"], want["y_pred"], rtol=0, atol=1e-12)
+
+
+def test_grid_scores_every_setting_from_shared_fits(table):
+    grid = {"maxIter": [1, 3, 6], "maxDepth": [2, 3]}
+    train = table.where("split = 'train'")
+    parts = folds.expanding_folds(train, 2, min_train=10)
+    _, results = models.grid_search(train, parts, ["a", "b", "c"], grid=grid)
+    assert results.count() == 12
+    rows = folds.assign_folds(train, parts).where("fold = 2")
+    alone = models.fit_boosted(rows.where("role = 'train'"), ["a", "b", "c"], maxIter=3, maxDepth=3)
+    mae = models.predict(alone, rows.where("role = 'validation'"), "m").agg(F.avg(F.abs(F.col("y_real") - F.col("y_pred")))).first()[0]
+    assert results.where("fold = 2 and params = 'maxIter=3, maxDepth=3'").first()["mae"] == pytest.approx(mae, abs=1e-12)
+
+
+def test_sequence_fit_keeps_its_scale_and_stops(table):
+    """A target a thousand times as large gives predictions a thousand times as large."""
+    rows = models.sequence_rows(table, ["a", "cases"], length=3)
+    large = rows.withColumn("target", F.col("target") * 1000)
+    key = ["entity_id", "epi_week"]
+    small_fit, large_fit = (models.fit_sequence(r, maxIter=40, regParam=0.0) for r in (rows, large))
+    small = models.predict_sequence(small_fit, rows, "m").orderBy(*key).toPandas()["y_pred"]
+    assert np.allclose(models.predict_sequence(large_fit, large, "m").orderBy(*key).toPandas()["y_pred"], 1000 * small, rtol=1e-6, atol=1e-6)
+    noise = rows.withColumn("target", F.abs(F.hash("entity_id", "epi_week") % 50).cast("double"))
+    stopped = models.fit_sequence(noise, "boosted", maxIter=40)
+    assert models.regressor_of(stopped).getNumTrees < 40
+    assert models.doublings(100) == [13, 25, 50, 100] and models.doublings(5) == [5]
+
+
+def test_stack_windows_never_read_ahead(table):
+    """Out of fold, windows hold weeks before their own alone, and no training target lies in the fold."""
+    seen = []
+
+    def sequence(part):
+        seen.append(part.agg(F.max("epi_week")).first()[0])
+        return models.fit_windows(part, "sequence", 2, features=["a_norm", "week"], length=3, maxIter=5)
+
+    train = table.withColumn("week", F.col("epi_week").cast("double")).withColumn(
+        "target_h2", F.lead("cases", 2).over(models.Window.partitionBy("entity_id").orderBy("epi_week"))).where("split = 'train'")
+    parts = folds.expanding_folds(train, 2, min_train=10)
+    starts = {r.fold: r.start for r in parts.where("role = 'validation'").groupBy("fold").agg(F.min("epi_week").alias("start")).collect()}
+    fitters = {"sequence": sequence, "ridge": lambda part: models.fit_ridge(part, ["a", "b"], "target_h2")}
+    got = models.out_of_fold(train, parts, fitters, 2, parallelism=1)
+    assert sorted(seen) == sorted(start - 3 for start in starts.values())  # the last target is of the week before the fold
+    weeks = [r.epi_week for r in parts.where("role = 'validation'").select("epi_week").distinct().collect()]
+    assert got.groupBy("model").count().orderBy("model").collect() == [("ridge", 4 * len(weeks)), ("sequence", 4 * len(weeks))]
+    windows = sequence_windows(train, ["week"], "target_h2", 3, 0, ())
+    assert windows.where(F.array_max(F.transform("sequence", lambda s: s[0])) >= F.col("epi_week")).count() == 0
+    assert models.stack_frame(got, list(fitters)).count() == 4 * len(weeks)
+
+
+def test_bundle_round_trip_and_its_checks(spark, table, tmp_path, rows):
+    train, path = table.where("split = 'train'"), str(tmp_path / "bundle")
+    fitted = [models.fit_flat(models.fit_ridge, train, "ridge", features=["a", "b"]),
+              models.fit_flat(models.fit_boosted, train, "boosted", features=["a", "c"], maxIter=3),
+              models.fit_windows(train, "linear", features=["a_norm", "b"], length=3, maxIter=5),
+              models.fit_windows(train, "trees", kind="boosted", features=["a_norm", "b"], length=2, maxIter=2)]
+    bundles.save_bundle(spark, path, fitted[:2])
+    bundles.save_bundle(spark, path, fitted[1:])  # replaces one, adds two
+    loaded = bundles.load_bundle(spark, path)
+    assert [m.name for m in loaded] == ["boosted", "linear", "ridge", "trees"]
+    assert [m.name for m in bundles.load_bundle(spark, path, ["linear"], [0])] == ["linear"]
+    held = table.where("split = 'test'").drop("c").withColumn("c", F.lit(1.0))  # no training row, no scaler is needed
+    assert rows(bundles.score_bundle(loaded, held)) == rows(bundles.score_bundle(fitted, held))
+    with pytest.raises(ValueError, match="features not in the table"):
+        bundles.score_bundle(loaded, held.drop("b"))
+    for name, change in (("ridge", {"features": ["a", "c"]}), ("linear", {"length": 4}), ("trees", {"scaler": []})):
+        file = next((Path(path) / "manifest" / f"name={name}" / "horizon=0").glob("*.json"))
+        entry = json.loads(file.read_text())
+        for crc in file.parent.glob("*.crc"):
+            crc.unlink()
+        for crc in file.parent.glob(".*.crc"):
+            crc.unlink()
+        file.write_text(json.dumps(entry | change))
+        with pytest.raises(ValueError, match=f"{name} at horizon 0"):
+            bundles.load_bundle(spark, path, [name])
+
+
+def test_importance_by_model(spark, table, rows):
+    fitted = [models.fit_flat(models.fit_ridge, table, "ridge", features=["a", "b", "c"]),
+              models.fit_windows(table, "linear", features=["a", "cases"], length=2, maxIter=5),
+              models.fit_flat(models.fit_forest, table, "forest", features=["a", "b"], trees=3)]
+    long = importance.fitted_importance(spark, fitted)
+    assert rows(long.groupBy("model", "method").agg(F.count("*"), F.round(F.sum("importance"), 1))) == [
+        ("forest", "gain", 2, 100.0), ("linear", "coefficient", 2, 100.0), ("ridge", "coefficient", 3, 100.0)]
+    by = importance.by_category(long, ["model", "method"])
+    assert rows(by.groupBy("model").agg(F.round(F.sum("importance"), 1))) == [("forest", 100.0), ("linear", 100.0), ("ridge", 100.0)]
+    assert importance.top_features(long, 1, ["model"]).count() == 3
+    assert importance.dominant_changes(long, ((0, 0),), ["model"]).count() == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.features import complete_rows
-from weekloom.operators.models import model_features, regressor_of
+from weekloom.operators.models import Fitted, model_features, regressor_of
+from weekloom.operators.panel import combine_sources
 
 # Feature categories, as patterns of feature names.
 CATEGORIES = [
@@ -55,6 +57,35 @@ def linear_importance(spark: SparkSession, model: PipelineModel, horizon: int =
     return _shares(spark, model_features(model), coefficients, horizon)
 
 
+def window_importance(spark: SparkSession, model: Fitted) -> DataFrame:
+    """Absolute coefficients of a linear sequence model, summed over the weeks of the window.
+
+    Boosted sequence models give the gain instead. In percent of the total, one row per feature.
+    """
+    stage = regressor_of(model.pipeline)
+    values = stage.coefficients if hasattr(stage, "coefficients") else stage.featureImportances
+    by_step = np.abs(values.toArray()).reshape(model.length, len(model.features))
+    return _shares(spark, model.features, by_step.sum(axis=0), model.horizon)
+
+
+def fitted_importance(spark: SparkSession, models: Sequence[Fitted]) -> DataFrame:
+    """What each model weighs its features by, in one long table with model and method.
+
+    Gain for trees, absolute coefficients for linear models; reads the models alone.
+    """
+    tables = []
+    for model in models:
+        linear = hasattr(regressor_of(model.pipeline), "coefficients")
+        if model.length:
+            table = window_importance(spark, model)
+        elif linear:
+            table = linear_importance(spark, model.pipeline, model.horizon)
+        else:
+            table = tree_importance(spark, model.pipeline, model.horizon)
+        tables.append(table.withColumn("model", F.lit(model.name)).withColumn("method", F.lit("coefficient" if linear else "gain")))
+    return combine_sources(tables)
+
+
 def _shares(spark: SparkSession, features: Sequence[str], values, horizon: int) -> DataFrame:
     numbers = [float(v) for v in values]
     total = sum(numbers) or 1.0
@@ -105,35 +136,36 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, horizon: int =
                          F.lit(horizon).alias("horizon"), category_of(F.col("feature")).alias("category"))
 
 
-def by_category(importance: DataFrame) -> DataFrame:
-    """Importance per horizon and category, with its place in the horizon."""
-    sums = importance.groupBy("horizon", "category").agg(F.sum("importance").alias("importance"))
+def by_category(importance: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Importance per horizon and category, with its place in the horizon; apart for each of ``by``."""
+    sums = importance.groupBy(*by, "horizon", "category").agg(F.sum("importance").alias("importance"))
     # One row per category: at most eight per horizon.
     place = F.row_number().over(
-        Window.partitionBy("horizon").orderBy(F.desc("importance"), "category"))
+        Window.partitionBy(*by, "horizon").orderBy(F.desc("importance"), "category"))
     return sums.withColumn("place", place)
 
 
-def top_categories(importance: DataFrame, k: int = 3) -> DataFrame:
-    return by_category(importance).where(F.col("place") <= k)
+def top_categories(importance: DataFrame, k: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    return by_category(importance, by).where(F.col("place") <= k)
 
 
-def dominant_changes(importance: DataFrame, pairs: Sequence[tuple[int, int]] = ((0, 4), (1, 4))) -> DataFrame:
+def dominant_changes(importance: DataFrame, pairs: Sequence[tuple[int, int]] = ((0, 4), (1, 4)),
+                     by: Sequence[str] = ()) -> DataFrame:
     """Leading category at a short and at a long horizon, and whether it differs."""
-    leading = by_category(importance).where(F.col("place") == 1).agg(
+    leading = by_category(importance, by).where(F.col("place") == 1).groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("horizon", "category"))).alias("_lead"))
     rows = F.array(*[F.struct(
         F.lit(a).alias("short_horizon"), F.lit(b).alias("long_horizon"),
         F.try_element_at("_lead", F.lit(a)).alias("short_category"),
         F.try_element_at("_lead", F.lit(b)).alias("long_category")) for a, b in pairs])
-    table = leading.select(F.explode(rows).alias("_r")).select("_r.*")
+    table = leading.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
     return table.where(F.col("short_category").isNotNull() & F.col("long_category").isNotNull()).withColumn(
         "changed", F.col("short_category") != F.col("long_category"))
 
 
-def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
+def top_features(importance: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` leading features per horizon with a readable name. Feature lists are short."""
     place = F.row_number().over(
-        Window.partitionBy("horizon").orderBy(F.desc("importance"), "feature"))
+        Window.partitionBy(*by, "horizon").orderBy(F.desc("importance"), "feature"))
     return importance.withColumn("place", place).where(F.col("place") <= k).withColumn(
         "name", readable_name(F.col("feature")))
