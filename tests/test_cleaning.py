@@ -1,6 +1,7 @@
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from weekloom.operators import cleaning
@@ -74,10 +75,23 @@ def test_a_label_with_two_ids_fails(spark):
         cleaning.map_labels(frame, two).collect()
 
 
-def test_interpolation_needs_a_group(spark):
-    frame = spark.createDataFrame([(1, 2023, 1, 1.0)], "entity_id int, year int, epi_week int, x double")
-    with pytest.raises(ValueError):
-        cleaning.interpolate(frame, ["x"], by=[])
+def test_interpolation_of_the_whole_order(spark):
+    """Without groups, gaps are filled along the order of the table, also where they span ranges."""
+    rng = np.random.default_rng(4)
+    data = [(e, y, w, float(rng.integers(1, 50)) if rng.random() < 0.3 and not (y == 2020 and 8 < w < 33) else None, None,
+             1.5 if (e, y, w) == (2, 2020, 9) else None) for y in (2020, 2021) for w in range(1, 40) for e in range(1, 13)]
+    schema = "entity_id int, year int, epi_week int, x double, none double, one double"
+    frame = spark.createDataFrame(data, schema).repartition(5)
+    want = pd.DataFrame(data, columns=["entity_id", "year", "epi_week", "x", "none", "one"]).sort_values(["year", "epi_week", "entity_id"])
+    expected = pd.to_numeric(want["x"]).interpolate(limit_direction="both")
+    for partitions in ("3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = cleaning.interpolate(frame, ["x", "none", "one"], by=[]).toPandas().sort_values(["year", "epi_week", "entity_id"])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert np.allclose(got["x"], expected) and got["none"].isna().all() and (got["one"] == 1.5).all()
+    assert cleaning.interpolate(frame.limit(0), ["x"], by=[]).count() == 0
 
 
 def test_formats_round_half_even(spark, rows):

@@ -21,7 +21,9 @@ def test_totals_and_top(panel, rows):
     assert rows(explore.entity_totals(panel)) == [(1, 10), (2, 2)]
     assert [tuple(r) for r in explore.top_weeks(panel, 2).collect()] == [(2023, 2, 8), (2024, 1, 4)]
     assert [tuple(r)[3] for r in explore.top_rows(panel, 2).collect()] == [6, 4]
-    assert rows(explore.week_by_entity(panel, [1, 2, 3], 2023)) == [(1, 0, 0, 0), (2, 6, 2, 0)]
+    assert rows(explore.week_by_entity(panel, [1, 2, 3], 2023)) == [(2023, 1, 0, 0, 0), (2023, 2, 6, 2, 0)]
+    assert (2023, 2, 6, 2, 0) in rows(explore.week_by_entity(panel, [1, 2, 3]))
+    assert {r[:3]: r[3] for r in rows(explore.week_cells(panel), 'year', 'epi_week', 'entity_id', 'total')}[2023, 2, 1] == 6
 
 
 def test_season(panel, rows):

@@ -1,9 +1,12 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weekloom.operators import evaluate, folds, forecast
 from weekloom.plans.scoring import ensemble_report, walk_forward_report
+from weekloom.sources import runs
 from weekloom.sources.tables import routing_table
 
 PREDICTIONS = "split string, entity_id int, year int, epi_week int, horizon int, model string, y_real double, y_pred double"
@@ -162,3 +165,22 @@ def test_unscorable_rows_count_nowhere(spark):
     assert {r["n"] for r in evaluate.full_evaluation(frame).collect()} == {1}
     assert evaluate.safe_mae(frame, ["model"], 1).first()["n"] == 1
     assert evaluate.year_errors(frame).first()["n"] == 1
+
+
+def test_run_log_replaces_a_run_and_finds_the_one_before(spark, tmp_path, rows):
+    path = str(tmp_path / "runs")
+
+    def metrics(mae):
+        return spark.createDataFrame([("m", "test", h, mae + h, 1.0, 0.5) for h in (0, 1)],
+                                     "model string, split string, horizon int, mae double, rmse double, r2 double")
+
+    for run, day, mae in (("1", 1, 9.0), ("2", 2, 5.0), ("3", 3, 4.0), ("2", 2, 3.0)):
+        runs.log_run(metrics(mae), path, run, datetime(2024, 1, day))
+    log = runs.read_runs(spark, path)
+    assert rows(log.groupBy("run_id").count()) == [("1", 2), ("2", 2), ("3", 2)]
+    assert (runs.earlier_run(log, "3"), runs.earlier_run(log, "2"), runs.earlier_run(log, "1")) == ("2", "1", None)
+    assert runs.earlier_run(log, "3", F.col("run_id") == "1") == "1"
+    assert rows(runs.against_earlier(log, "3"), "horizon", "run", "mae", "delta_to_best") == [
+        (0, "current", 4.0, 1.0), (0, "earlier", 3.0, 0.0), (1, "current", 5.0, 1.0), (1, "earlier", 4.0, 0.0)]
+    with pytest.raises(ValueError, match="no run before 1"):
+        runs.against_earlier(log, "1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.ranks import exact_quantiles, melt
+from weekloom.session import settled
 
 Bounds = Mapping[str, tuple[float | None, float | None]]
 
@@ -173,11 +174,12 @@ def interpolate(rows: DataFrame, columns: Sequence[str], keys: Keys = DEFAULT_KE
     """Fill nulls linearly by row position; edges take the nearest known value.
 
     Filling stays within ``by`` (default: the entity), so neighbouring entities never
-    blend. One sort serves all columns. A group's rows meet in one task, so there must be one.
+    blend. One sort serves all columns, and a group's rows meet in one task. With ``by=[]`` the
+    whole table is one series, ordered by week and entity, and no task holds more than its range.
     """
     groups = list(by) if by is not None else [keys.entity]
     if not groups:
-        raise ValueError("interpolation needs a group; without one the whole table is one series")
+        return _interpolate_whole(rows, columns, keys)
     order = Window.partitionBy(*groups).orderBy(keys.year, keys.week)
     placed = rows.withColumn("_pos", F.row_number().over(order))
     window = _window_sql(groups, [keys.year, keys.week])
@@ -192,6 +194,47 @@ def interpolate(rows: DataFrame, columns: Sequence[str], keys: Keys = DEFAULT_KE
     return around.select(*[filled.get(c, F.col(c)).alias(c) for c in rows.columns])
 
 
+def _interpolate_whole(rows: DataFrame, columns: Sequence[str], keys: Keys) -> DataFrame:
+    """Interpolation over the order of the whole table, as a scan with carry.
+
+    Rows are sorted into ranges. One row per range says how many rows it has and which values are
+    known first and last; windows over those few rows give each range its first position and the
+    known values next to it. Then every range is filled on its own. Rows without a week come
+    first, and equal keys stand in any one order.
+    """
+    order = [*keys.time, keys.entity]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written once: ranges and places must not change between the passes.
+    placed = settled(spread.withColumn("_part", F.spark_partition_id()).withColumn(
+        "_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_place").alias("pos"), F.col(c).alias("value"))) for c in columns}
+    ranges = placed.groupBy("_part").agg(
+        (F.max("_place") + 1).alias("_rows"),
+        *[F.min_by(known[c], F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_first_{c}") for c in columns],
+        *[F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"_last_{c}") for c in columns])
+    by_part = Window.orderBy("_part")  # one row per range
+    before, after = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(1, Window.unboundedFollowing)
+    based = ranges.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+    def moved(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(
+            (F.col("_base") + F.col(f"{name}.pos")).alias("pos"), F.col(f"{name}.value").alias("value")))
+
+    carry = based.select("_part", "_base", *[
+        F.last(moved(f"_last_{c}"), ignorenulls=True).over(before).alias(f"_carry_before_{c}") for c in columns], *[
+        F.first(moved(f"_first_{c}"), ignorenulls=True).over(after).alias(f"_carry_after_{c}") for c in columns])
+    joined = placed.join(carry, "_part").withColumn("_pos", F.col("_base") + F.col("_place"))
+    # Two sorted windows: a frame that is open to the following rows would be read anew for each row.
+    earlier = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_part").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, -1)
+    value = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).alias("value"))) for c in columns}
+    around = joined.withColumns({
+        **{f"_before_{c}": F.coalesce(F.last(v, ignorenulls=True).over(earlier), F.col(f"_carry_before_{c}")) for c, v in value.items()},
+        **{f"_after_{c}": F.coalesce(F.last(v, ignorenulls=True).over(later), F.col(f"_carry_after_{c}")) for c, v in value.items()}})
+    filled = {c: F.coalesce(F.col(c), _between(c)) for c in columns}
+    return around.select(*[filled.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def _between(column: str) -> Column:
     before, after = F.col(f"_before_{column}"), F.col(f"_after_{column}")
     step = (after["value"] - before["value"]) / (after["pos"] - before["pos"])

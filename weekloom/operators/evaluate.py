@@ -89,16 +89,17 @@ def auc(predictions: DataFrame, by: Sequence[str], threshold: float = OUTBREAK_C
 
 
 def entity_scores(predictions: DataFrame, threshold: float = OUTBREAK_CASES,
-                  keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Regression and outbreak scores per entity in one aggregate."""
-    return usable(predictions).groupBy(keys.entity).agg(
+                  keys: Keys = DEFAULT_KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Regression and outbreak scores per entity, apart for each of ``by``, in one aggregate."""
+    return usable(predictions).groupBy(*by, keys.entity).agg(
         *regression_scores(F.col("y_real"), F.col("y_pred")), *_outbreak(threshold))
 
 
 def full_evaluation(predictions: DataFrame, threshold: float = OUTBREAK_CASES,
-                    keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Entity rows and one overall row (null entity, level ``global``) from one rollup."""
-    table = usable(predictions).rollup(keys.entity).agg(
+                    keys: Keys = DEFAULT_KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Entity rows and, for each of ``by``, one overall row (null entity, level ``global``) from one pass."""
+    each = [F.col(c) for c in (*by, keys.entity)]
+    table = usable(predictions).groupingSets([each, each[:-1]], *each).agg(
         F.when(F.grouping(keys.entity) == 1, "global").otherwise("entity").alias("level"),
         *regression_scores(F.col("y_real"), F.col("y_pred")), *_outbreak(threshold))
     return table.withColumn("detection_rate", F.col("recall"))
@@ -145,45 +146,48 @@ def winners(entity_table: DataFrame, model_order: Sequence[str], baseline: str =
         "beats_baseline", F.coalesce(beats, F.lit(False)))
 
 
-def win_counts(winner_table: DataFrame) -> DataFrame:
-    """Groups won and their percentage per model."""
-    counted = winner_table.groupBy("model").agg(F.count(F.lit(1)).alias("n_wins"))
+def win_counts(winner_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Groups won and their percentage per model, apart for each of ``by``."""
+    counted = winner_table.groupBy(*by, "model").agg(F.count(F.lit(1)).alias("n_wins"))
     # One row per model, so the total is taken on a handful of rows.
-    total = F.sum("n_wins").over(Window.partitionBy())
-    return counted.select("model", "n_wins", F.try_divide(F.col("n_wins") * 100.0, total).alias("pct"))
+    total = F.sum("n_wins").over(Window.partitionBy(*by))
+    return counted.select(*by, "model", "n_wins", F.try_divide(F.col("n_wins") * 100.0, total).alias("pct"))
 
 
-def macro_mae(entity_table: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Mean of the entities' MAEs: one row per model, one column per horizon."""
-    return entity_table.groupBy("model").agg(*[
+def macro_mae(entity_table: DataFrame, horizons: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the entities' MAEs: one row per model (and ``by``), one column per horizon."""
+    return entity_table.groupBy(*by, "model").agg(*[
         F.avg(F.when(F.col("horizon") == h, F.col("mae"))).alias(f"mae_h{h}") for h in horizons])
 
 
 def horizon_winners(entity_table: DataFrame, model_order: Sequence[str],
-                    baseline: str = "persistence") -> DataFrame:
-    """Model of least mean MAE per horizon."""
-    means = entity_table.groupBy("model", "horizon").agg(F.avg("mae").alias("mae"))
-    return winners(means, model_order, baseline, by=["horizon"])
+                    baseline: str = "persistence", by: Sequence[str] = ()) -> DataFrame:
+    """Model of least mean MAE per horizon, apart for each of ``by``."""
+    means = entity_table.groupBy(*by, "model", "horizon").agg(F.avg("mae").alias("mae"))
+    return winners(means, model_order, baseline, by=[*by, "horizon"])
 
 
-def beats_baseline(entity_table: DataFrame, model: str, baseline: str = "persistence") -> DataFrame:
+def beats_baseline(entity_table: DataFrame, model: str, baseline: str = "persistence",
+                   by: Sequence[str] = ()) -> DataFrame:
     """Mean MAE of a model and of the baseline per horizon, and whether it is lower."""
     def mean_of(name: str) -> Column:
         return F.avg(F.when(F.col("model") == name, F.col("mae")))
 
-    table = entity_table.groupBy("horizon").agg(
+    table = entity_table.groupBy(*by, "horizon").agg(
         mean_of(model).alias("model_mae"), mean_of(baseline).alias("baseline_mae"))
     return table.where(F.col("model_mae").isNotNull() & F.col("baseline_mae").isNotNull()).withColumn(
         "beats", F.col("model_mae") < F.col("baseline_mae"))
 
 
 def hardest_and_easiest(entity_table: DataFrame, model: str, k: int = 3,
-                        entity: str = "entity_id") -> DataFrame:
-    """The ``k`` entities of largest and of smallest mean MAE for one model."""
-    means = entity_table.where(F.col("model") == model).groupBy(entity).agg(F.avg("mae").alias("mae"))
-    hard = means.orderBy(F.desc("mae"), entity).limit(k).withColumn("kind", F.lit("hardest"))
-    easy = means.orderBy("mae", entity).limit(k).withColumn("kind", F.lit("easiest"))
-    return hard.unionByName(easy)
+                        entity: str = "entity_id", by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` entities of largest and of smallest mean MAE for one model, for each of ``by``."""
+    means = entity_table.where(F.col("model") == model).groupBy(*by, entity).agg(F.avg("mae").alias("mae"))
+    # Only k rows of each task and group reach the window.
+    hard = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mae"), entity))
+    easy = F.row_number().over(Window.partitionBy(*by).orderBy("mae", entity))
+    return means.withColumn("_place", hard).where(F.col("_place") <= k).withColumn("kind", F.lit("hardest")).unionByName(
+        means.withColumn("_place", easy).where(F.col("_place") <= k).withColumn("kind", F.lit("easiest"))).drop("_place")
 
 
 def ensemble_against_best(score_table: DataFrame, ensemble: str = "ensemble",
@@ -228,15 +232,15 @@ def degradation(score_table: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4))
         *[at("mae", h) for h in horizons], *[at("r2", h) for h in horizons])
 
 
-def comparison(current: DataFrame, earlier: DataFrame, split: str = "validation") -> DataFrame:
-    """Scores of this run and of an earlier one, with the distance to the best of the horizon."""
-    columns = ["model", "horizon", "mae", "rmse", "r2"]
+def comparison(current: DataFrame, earlier: DataFrame, by: Sequence[str] = ("split", "horizon")) -> DataFrame:
+    """Scores of this run and of an earlier one, with the distance to the best of the group."""
+    columns = [*by, "model", "mae", "rmse", "r2"]
     both = (
-        earlier.where(F.col("split") == split).select(*columns, F.lit("earlier").alias("run"))
-        .unionByName(current.where(F.col("split") == split).select(*columns, F.lit("current").alias("run")))
+        earlier.select(*columns, F.lit("earlier").alias("run"))
+        .unionByName(current.select(*columns, F.lit("current").alias("run")))
     )
-    best = both.groupBy("horizon").agg(F.min("mae").alias("best_mae"))
-    return both.join(F.broadcast(best), "horizon").select(
+    best = both.groupBy(*by).agg(F.min("mae").alias("best_mae"))
+    return both.join(F.broadcast(best), list(by)).select(
         *columns, "run", "best_mae", (F.col("mae") - F.col("best_mae")).alias("delta_to_best"))
 
 

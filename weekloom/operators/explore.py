@@ -25,12 +25,24 @@ def entity_totals(panel: DataFrame, count: str = "cases", by: Sequence[str] = ()
         F.desc("total"), keys.entity, *by)
 
 
-def week_by_entity(panel: DataFrame, entities: Sequence[int], year: int, count: str = "cases",
+def week_cells(panel: DataFrame, count: str = "cases", keys: Keys = DEFAULT_KEYS) -> DataFrame:
+    """The week-by-entity matrices of all years as long rows of their cells that are not 0.
+
+    For any number of entities: a cell that is absent is 0.
+    """
+    cells = panel.groupBy(*keys.time, keys.entity).agg(F.sum(count).alias("total"))
+    return cells.where(F.col("total") != 0)
+
+
+def week_by_entity(panel: DataFrame, entities: Sequence[int], year: int | None = None, count: str = "cases",
                    keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """Week rows by entity columns of one year, empty cells 0. ``entities`` is a short list."""
-    one = panel.where(F.col(keys.year) == year)
-    wide = one.groupBy(keys.week).pivot(keys.entity, list(entities)).agg(F.sum(count))
-    return wide.select(keys.week, *[
+    """Rows by year and week, columns by entity, empty cells 0; of one year on request.
+
+    ``entities`` is a short list; all years come from one pass.
+    """
+    chosen = panel if year is None else panel.where(F.col(keys.year) == year)
+    wide = chosen.groupBy(*keys.time).pivot(keys.entity, list(entities)).agg(F.sum(count))
+    return wide.select(*keys.time, *[
         F.coalesce(F.col(f"`{e}`"), F.lit(0)).alias(f"entity_{e}") for e in entities])
 
 

@@ -28,7 +28,11 @@ def entity_year_totals(spark, sf):
 
 
 def week_by_entity(spark, sf):
-    return explore.week_by_entity(panel(spark, sf), list(range(25)), 1998)
+    return explore.week_by_entity(panel(spark, sf), list(range(25)))
+
+
+def week_cells(spark, sf):
+    return explore.week_cells(supplier_panel(spark, sf))
 
 
 def season_profile(spark, sf):
@@ -69,12 +73,9 @@ def year_totals(spark, sf):
 
 
 def missing_entities(spark, sf):
-    """Nations without an urgent order in the first week of any year."""
-    customer = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity_id"))
-    urgent = table(spark, sf, "orders").where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.weekofyear(F.col("o_orderdate").cast("date")) == 1))
-    return explore.missing_entities(urgent.join(customer, "o_custkey"), entities(spark, sf))
+    """Orders without a line item: entities of a large domain that the rows never name."""
+    named = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity_id"))
+    return explore.missing_entities(named, table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity_id")))
 
 
 def weather_quality(spark, sf):
@@ -128,7 +129,7 @@ def correlation_significance(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    week_totals, entity_totals, entity_year_totals, week_by_entity, season_profile, season_peaks,
+    week_totals, entity_totals, entity_year_totals, week_by_entity, week_cells, season_profile, season_peaks,
     relative_incidence, high_incidence, focus_share, focus_summary, zero_imbalance, panel_quality,
     year_totals, missing_entities, weather_quality, master_quality, top_weeks, top_rows,
     bucket_histogram, lagged_correlation, best_weather_lag, correlation_matrix, linear_trend,
@@ -202,9 +203,11 @@ ORACLES = {
     "entity_totals": sql("SELECT entity_id, sum(cases)::BIGINT AS total FROM panel GROUP BY 1", "panel"),
     "entity_year_totals": sql(
         "SELECT entity_id, year, sum(cases)::BIGINT AS total FROM supplier_panel GROUP BY ALL", "supplier_panel"),
-    "week_by_entity": sql("SELECT epi_week, " + ", ".join(
+    "week_by_entity": sql("SELECT year, epi_week, " + ", ".join(
         f"sum(CASE WHEN entity_id = {e} THEN cases ELSE 0 END)::BIGINT AS entity_{e}" for e in range(25))
-        + " FROM panel WHERE year = 1998 GROUP BY 1", "panel"),
+        + " FROM panel GROUP BY 1, 2", "panel"),
+    "week_cells": sql("""
+    SELECT year, epi_week, entity_id, sum(cases)::BIGINT AS total FROM supplier_panel GROUP BY ALL HAVING sum(cases) <> 0""", "supplier_panel"),
     "season_profile": sql(neat_wrap(
         f"SELECT *, CASE WHEN epi_week <= 17 OR epi_week >= 48 THEN 1 ELSE 0 END AS in_season FROM ({_PROFILE.format('', 'panel')})",
         ["mean_total"]), "panel"),
@@ -236,9 +239,7 @@ ORACLES = {
     SELECT year, count(*)::BIGINT AS n_rows, sum(cases)::BIGINT AS total,
       count(*) FILTER (WHERE cases > 0)::BIGINT AS n_nonzero FROM panel GROUP BY 1""", "panel"),
     "missing_entities": """
-    SELECT n_nationkey AS entity_id FROM nation WHERE n_nationkey NOT IN (
-      SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey
-      WHERE o_orderpriority = '1-URGENT' AND week(o_orderdate) = 1)""",
+    SELECT o_orderkey AS entity_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "weather_quality": sql(neat_wrap("""
     SELECT count(*)::BIGINT AS n_weeks, count(DISTINCT year)::BIGINT AS n_years, avg(temp_mean) AS temp_mean,
       max(temp_max_mean) AS temp_max, min(temp_min_mean) AS temp_min, avg(precipitation) AS rain_mean,

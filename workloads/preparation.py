@@ -102,6 +102,13 @@ def interpolated_cases(spark, sf):
     return neat(cleaning.interpolate(holes, ["cases"]))
 
 
+def interpolated_whole(spark, sf):
+    """The same holes, filled along the order of weeks and entities over the whole table."""
+    holes = supplier_panel(spark, sf).withColumn(
+        "cases", F.when(F.col("cases") > 0, F.col("cases").cast("double")))
+    return neat(cleaning.interpolate(holes, ["cases"], by=[]))
+
+
 def iqr_outliers(spark, sf):
     rows = table(spark, sf, "lineitem")
     return neat(cleaning.iqr_outliers(rows, ["l_quantity", "l_extendedprice", "l_discount"]))
@@ -230,7 +237,7 @@ def trailing_weather(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cleaned_cases, unmapped_labels, weather_in_range, out_of_range_counts, supplier_date_gaps,
-    duplicate_keys, first_of_week, missing_report, interpolated_cases, iqr_outliers, master_columns,
+    duplicate_keys, first_of_week, missing_report, interpolated_cases, interpolated_whole, iqr_outliers, master_columns,
     replaced_counts, densify_totals, high_counts_master, dropped_weeks,
     source_summary, overlapping_sources, weekly_counts, dense_panel, dense_supplier_panel,
     dense_panel_52, iso_weeks, week_alignment, weeks_without_weather, shared_weeks,
@@ -296,6 +303,10 @@ ORACLES = {
     "interpolated_cases": sql(neat_wrap(interpolated_sql("holes", ["cases"], "entity_id, year, epi_week"), ["cases"]),
                               "supplier_panel", extra={"holes": """
     SELECT entity_id, year, epi_week, CASE WHEN cases > 0 THEN cases::DOUBLE END AS cases FROM supplier_panel"""}),
+    "interpolated_whole": sql(neat_wrap(interpolated_sql("holes", ["cases"], "entity_id, year, epi_week").replace(
+        "PARTITION BY entity_id ORDER BY year, epi_week", "ORDER BY year, epi_week, entity_id"), ["cases"]),
+                              "supplier_panel", extra={"holes": """
+    SELECT entity_id, year, epi_week, CASE WHEN cases > 0 THEN cases::DOUBLE END AS cases FROM supplier_panel"""}),
     "iqr_outliers": neat_wrap("""
     SELECT variable, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))::BIGINT AS n_outliers,
       count(*)::BIGINT AS n,

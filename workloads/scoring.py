@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from weekloom.operators import evaluate, folds as fold_ops, forecast
-from weekloom.session import settled
+from weekloom.session import scratch, settled
+from weekloom.sources import runs
 from weekloom.sources.tables import routing_table
 from workloads.base import neat, neat_wrap, panel, sql
 from workloads.forecasts import PREDICTIONS_CTE, ROUTED_CTE, ROUTING, ROWS_CTE, lagged, predictions
@@ -36,7 +39,7 @@ def auc_scores(spark, sf):
 
 
 def entity_outbreak_scores(spark, sf):
-    return neat(evaluate.entity_scores(predictions(spark, sf).where("model = 'persistence' and horizon = 1")))
+    return neat(evaluate.entity_scores(predictions(spark, sf), by=["model", "split", "horizon"]))
 
 
 def wide_horizon_scores(spark, sf):
@@ -47,17 +50,13 @@ def wide_horizon_scores(spark, sf):
 
 
 def full_evaluation(spark, sf):
-    return neat(evaluate.full_evaluation(predictions(spark, sf).where("model = 'persistence' and horizon = 0"), 3))
+    return neat(evaluate.full_evaluation(predictions(spark, sf), 3, by=["model", "horizon"]))
 
 
 def _by_entity(spark, sf):
     return evaluate.scores(predictions(spark, sf), ["model", "split", "horizon", "entity_id"], describe=True)
 
 
-def _validation(spark, sf):
-    return _by_entity(spark, sf).where("split = 'validation'")
-
-
 def entity_horizon_scores(spark, sf):
     return neat(_by_entity(spark, sf))
 
@@ -67,28 +66,32 @@ def shared_support(spark, sf):
     return neat(evaluate.scores(shared, ["model", "split", "horizon"]))
 
 
+def _winners_table(spark, sf):
+    return evaluate.winners(_by_entity(spark, sf), MODEL_ORDER, by=["split", "entity_id", "horizon"])
+
+
 def winners(spark, sf):
-    return neat(evaluate.winners(_validation(spark, sf), MODEL_ORDER))
+    return neat(_winners_table(spark, sf))
 
 
 def win_counts(spark, sf):
-    return neat(evaluate.win_counts(evaluate.winners(_validation(spark, sf), MODEL_ORDER)))
+    return neat(evaluate.win_counts(_winners_table(spark, sf), ["split"]))
 
 
 def macro_mae(spark, sf):
-    return neat(evaluate.macro_mae(_validation(spark, sf), range(5)))
+    return neat(evaluate.macro_mae(_by_entity(spark, sf), range(5), ["split"]))
 
 
 def horizon_winners(spark, sf):
-    return neat(evaluate.horizon_winners(_validation(spark, sf), MODEL_ORDER))
+    return neat(evaluate.horizon_winners(_by_entity(spark, sf), MODEL_ORDER, by=["split"]))
 
 
 def beats_baseline(spark, sf):
-    return neat(evaluate.beats_baseline(_validation(spark, sf), "lag4"))
+    return neat(evaluate.beats_baseline(_by_entity(spark, sf), "lag4", by=["split"]))
 
 
 def hardest_and_easiest(spark, sf):
-    return neat(evaluate.hardest_and_easiest(_validation(spark, sf), "lag4"))
+    return neat(evaluate.hardest_and_easiest(settled(_by_entity(spark, sf)), "lag4", by=["split"]))
 
 
 def ensemble_against_best(spark, sf):
@@ -99,8 +102,8 @@ def ensemble_against_best(spark, sf):
 
 
 def safe_mae(spark, sf):
-    few = predictions(spark, sf).where("year = 2001 and entity_id <= epi_week % 7")
-    return neat(evaluate.safe_mae(few, ["model", "horizon", "epi_week"]))
+    """By entity and week of the year: groups of a few years, of which some are too few."""
+    return neat(evaluate.safe_mae(predictions(spark, sf), ["model", "split", "horizon", "entity_id", "epi_week"]))
 
 
 def year_errors(spark, sf):
@@ -116,9 +119,14 @@ def degradation(spark, sf):
 
 
 def run_comparison(spark, sf):
-    table = evaluate.scores(predictions(spark, sf), ["model", "split", "horizon"])
-    current, earlier = table.where("model <> 'lag4'"), table.where("model = 'lag4'")
-    return neat(evaluate.comparison(current, earlier))
+    """Three logged runs, one of them logged twice, and the last beside the run before it."""
+    path = scratch(spark, "runs")
+    table = settled(evaluate.scores(predictions(spark, sf), ["model", "split", "horizon"]))
+    runs.log_run(table.where("model = 'historical_mean'"), path, "0001", datetime(2024, 1, 1))
+    runs.log_run(table, path, "0002", datetime(2024, 2, 1))
+    runs.log_run(table.where("model = 'lag4'"), path, "0002", datetime(2024, 2, 2))
+    runs.log_run(table.where("model <> 'lag4'"), path, "0003", datetime(2024, 3, 1))
+    return neat(runs.against_earlier(runs.read_runs(spark, path), "0003"))
 
 
 def model_deltas(spark, sf):
@@ -189,8 +197,7 @@ def _outbreak(t: int) -> str:
 _CLASS = ["precision", "recall", "f1"]
 _GROUP = f"SELECT model, split, horizon, {_SCORES} FROM predictions GROUP BY ALL"
 _ENTITY = {**PREDICTIONS_CTE, "entity_scores": f"""
-    SELECT model, split, horizon, entity_id, {_SCORES} {_DESCRIBE} FROM predictions GROUP BY ALL""",
-           "held": "SELECT * FROM entity_scores WHERE split = 'validation'"}
+    SELECT model, split, horizon, entity_id, {_SCORES} {_DESCRIBE} FROM predictions GROUP BY ALL"""}
 _PLACE = "CASE model WHEN 'persistence' THEN 1 WHEN 'lag4' THEN 2 ELSE 3 END"
 
 
@@ -245,38 +252,39 @@ ORACLES = {
       + (count(*) OVER (PARTITION BY model, horizon, y_pred) - 1) / 2.0 AS r FROM predictions) GROUP BY ALL""", ["auc_roc"]),
                       "panel", extra=PREDICTIONS_CTE),
     "entity_outbreak_scores": sql(neat_wrap(f"""
-    SELECT entity_id, {_SCORES}, {_outbreak(5)} FROM predictions WHERE model = 'persistence' AND horizon = 1 GROUP BY 1""",
+    SELECT model, split, horizon, entity_id, {_SCORES}, {_outbreak(5)} FROM predictions GROUP BY ALL""",
                                             [*_FLOATS, *_CLASS]), "panel", extra=PREDICTIONS_CTE),
     "wide_horizon_scores": sql(neat_wrap(f"SELECT horizon, {_SCORES} FROM wide GROUP BY 1", _FLOATS), "panel",
                                extra={**ROWS_CTE, "wide": _WIDE}),
     "full_evaluation": sql(neat_wrap(f"""
-    SELECT *, recall AS detection_rate FROM (SELECT entity_id, CASE WHEN grouping(entity_id) = 1 THEN 'global' ELSE 'entity' END AS level,
-      {_SCORES}, {_outbreak(3)} FROM predictions WHERE model = 'persistence' AND horizon = 0 GROUP BY ROLLUP (entity_id))""",
+    SELECT *, recall AS detection_rate FROM (SELECT model, horizon, entity_id, CASE WHEN grouping(entity_id) = 1 THEN 'global' ELSE 'entity' END AS level,
+      {_SCORES}, {_outbreak(3)} FROM predictions GROUP BY GROUPING SETS ((model, horizon, entity_id), (model, horizon)))""",
                                      [*_FLOATS, *_CLASS, "detection_rate"]), "panel", extra=PREDICTIONS_CTE),
     "entity_horizon_scores": sql(neat_wrap("SELECT * FROM entity_scores", [*_FLOATS, "mean_real", "max_real", "var_pred"]),
                                  "panel", extra=_ENTITY),
     "shared_support": sql(neat_wrap(f"SELECT model, split, horizon, {_SCORES} FROM common GROUP BY ALL", _FLOATS),
                           "panel", extra={**PREDICTIONS_CTE, "common": _COMMON}),
-    "winners": sql(neat_wrap(_winners("held", "entity_id, horizon"), ["mae", "baseline_mae"]), "panel", extra=_ENTITY),
+    "winners": sql(neat_wrap(_winners("entity_scores", "split, entity_id, horizon"), ["mae", "baseline_mae"]), "panel", extra=_ENTITY),
     "win_counts": sql(neat_wrap(f"""
-    SELECT model, n_wins, n_wins * 100.0 / sum(n_wins) OVER () AS pct FROM (
-      SELECT model, count(*)::BIGINT AS n_wins FROM ({_winners('held', 'entity_id, horizon')}) GROUP BY 1)""", ["pct"]),
+    SELECT split, model, n_wins, n_wins * 100.0 / sum(n_wins) OVER (PARTITION BY split) AS pct FROM (
+      SELECT split, model, count(*)::BIGINT AS n_wins FROM ({_winners('entity_scores', 'split, entity_id, horizon')}) GROUP BY ALL)""", ["pct"]),
                       "panel", extra=_ENTITY),
-    "macro_mae": sql(neat_wrap("SELECT model, " + ", ".join(
-        f"avg(CASE WHEN horizon = {h} THEN mae END) AS mae_h{h}" for h in range(5)) + " FROM held GROUP BY 1",
+    "macro_mae": sql(neat_wrap("SELECT split, model, " + ", ".join(
+        f"avg(CASE WHEN horizon = {h} THEN mae END) AS mae_h{h}" for h in range(5)) + " FROM entity_scores GROUP BY ALL",
         [f"mae_h{h}" for h in range(5)]), "panel", extra=_ENTITY),
     "horizon_winners": sql(neat_wrap(_winners(
-        "(SELECT model, horizon, avg(mae) AS mae FROM held GROUP BY ALL)", "horizon"), ["mae", "baseline_mae"]),
+        "(SELECT split, model, horizon, avg(mae) AS mae FROM entity_scores GROUP BY ALL)", "split, horizon"), ["mae", "baseline_mae"]),
         "panel", extra=_ENTITY),
     "beats_baseline": sql(neat_wrap("""
-    SELECT *, model_mae < baseline_mae AS beats FROM (SELECT horizon, avg(CASE WHEN model = 'lag4' THEN mae END) AS model_mae,
-      avg(CASE WHEN model = 'persistence' THEN mae END) AS baseline_mae FROM held GROUP BY 1)""",
+    SELECT *, model_mae < baseline_mae AS beats FROM (SELECT split, horizon, avg(CASE WHEN model = 'lag4' THEN mae END) AS model_mae,
+      avg(CASE WHEN model = 'persistence' THEN mae END) AS baseline_mae FROM entity_scores GROUP BY ALL)
+    WHERE model_mae IS NOT NULL AND baseline_mae IS NOT NULL""",
                                     ["model_mae", "baseline_mae"]), "panel", extra=_ENTITY),
     "hardest_and_easiest": sql(neat_wrap("""
-    SELECT entity_id, mae, kind FROM (
-      (SELECT *, 'hardest' AS kind FROM means ORDER BY mae DESC, entity_id LIMIT 3) UNION ALL
-      (SELECT *, 'easiest' AS kind FROM means ORDER BY mae, entity_id LIMIT 3))""", ["mae"]), "panel",
-        extra={**_ENTITY, "means": "SELECT entity_id, avg(mae) AS mae FROM held WHERE model = 'lag4' GROUP BY 1"}),
+    SELECT split, entity_id, mae, kind FROM (
+      (SELECT *, 'hardest' AS kind FROM means QUALIFY row_number() OVER (PARTITION BY split ORDER BY mae DESC, entity_id) <= 3) UNION ALL
+      (SELECT *, 'easiest' AS kind FROM means QUALIFY row_number() OVER (PARTITION BY split ORDER BY mae, entity_id) <= 3))""", ["mae"]),
+        "panel", extra={**_ENTITY, "means": "SELECT split, entity_id, avg(mae) AS mae FROM entity_scores WHERE model = 'lag4' GROUP BY ALL"}),
     "ensemble_against_best": sql(neat_wrap(f"""
     SELECT b.split, b.horizon, e.mae AS ensemble_mae, b.model AS best_model, b.mae AS best_mae, e.mae - b.mae AS delta,
       CASE WHEN e.mae - b.mae <= 0.5 THEN 'even' WHEN e.mae - b.mae <= 2 THEN 'close' ELSE 'worse' END AS verdict
@@ -284,8 +292,8 @@ ORACLES = {
     JOIN (SELECT * FROM ({_GROUP}) QUALIFY row_number() OVER (PARTITION BY split, horizon ORDER BY mae, model) = 1) b
       ON e.split = b.split AND e.horizon = b.horizon""", ["ensemble_mae", "best_mae", "delta"]), "panel", extra=ROUTED_CTE),
     "safe_mae": sql(neat_wrap("""
-    SELECT model, horizon, epi_week, CASE WHEN count(*) >= 5 THEN avg(abs(y_real - y_pred)) END AS mae, count(*)::BIGINT AS n
-    FROM predictions WHERE year = 2001 AND entity_id <= epi_week % 7 GROUP BY ALL""", ["mae"]), "panel", extra=PREDICTIONS_CTE),
+    SELECT model, split, horizon, entity_id, epi_week, CASE WHEN count(*) >= 5 THEN avg(abs(y_real - y_pred)) END AS mae,
+      count(*)::BIGINT AS n FROM predictions GROUP BY ALL""", ["mae"]), "panel", extra=PREDICTIONS_CTE),
     "year_errors": sql(neat_wrap("""
     SELECT model, horizon, year, avg(y_real) AS mean_real, avg(y_pred) AS mean_pred, avg(abs(y_real - y_pred)) AS mae,
       count(*)::BIGINT AS n FROM predictions GROUP BY ALL""", ["mean_real", "mean_pred", "mae"]), "panel", extra=PREDICTIONS_CTE),
@@ -299,10 +307,9 @@ ORACLES = {
         + f" FROM ({_GROUP}) GROUP BY ALL", [f"{m}_h{h}" for m in ("mae", "r2") for h in range(1, 5)]),
         "panel", extra=PREDICTIONS_CTE),
     "run_comparison": sql(neat_wrap(f"""
-    SELECT model, horizon, mae, rmse, r2, CASE WHEN model = 'lag4' THEN 'earlier' ELSE 'current' END AS run,
-      min(mae) OVER (PARTITION BY horizon) AS best_mae, mae - min(mae) OVER (PARTITION BY horizon) AS delta_to_best
-    FROM ({_GROUP}) WHERE split = 'validation'""", ["mae", "rmse", "r2", "best_mae", "delta_to_best"]),
-                          "panel", extra=PREDICTIONS_CTE),
+    SELECT split, model, horizon, mae, rmse, r2, CASE WHEN model = 'lag4' THEN 'earlier' ELSE 'current' END AS run,
+      min(mae) OVER (PARTITION BY split, horizon) AS best_mae, mae - min(mae) OVER (PARTITION BY split, horizon) AS delta_to_best
+    FROM ({_GROUP})""", ["mae", "rmse", "r2", "best_mae", "delta_to_best"]), "panel", extra=PREDICTIONS_CTE),
     "model_deltas": sql(neat_wrap(f"""
     SELECT *, mae_second - mae_first AS delta FROM (SELECT split, horizon,
       max(CASE WHEN model = 'persistence' THEN mae END) AS mae_first, max(CASE WHEN model = 'lag4' THEN mae END) AS mae_second
