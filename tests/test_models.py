@@ -210,3 +210,26 @@ def test_importance_by_model(spark, table, rows):
     assert rows(by.groupBy("model").agg(F.round(F.sum("importance"), 1))) == [("forest", 100.0), ("linear", 100.0), ("ridge", 100.0)]
     assert importance.top_features(long, 1, ["model"]).count() == 3
     assert importance.dominant_changes(long, ((0, 0),), ["model"]).count() == 3
+
+
+def test_entities_of_any_number_have_coefficients(spark, table, tmp_path, rows):
+    """One sparse vector: the closed form of a ridge, saved with its domain, unseen entities kept."""
+    train = table.where("split = 'train'").withColumn("cases", F.col("cases") + 3 * F.col("entity_id"))
+    model = models.fit_ridge(train, ["a", "b"], alpha=2.0, entity="entity_id")
+    pdf = train.toPandas()
+    x = pdf[["a", "b"]].to_numpy()
+    dummies = np.eye(4)[pdf["entity_id"]]
+    z = np.hstack([(x - x.mean(0)) / x.std(0, ddof=1), dummies])
+    zc, y = z - z.mean(0), pdf["cases"].to_numpy()
+    w = np.linalg.solve(zc.T @ zc + 2.0 * np.eye(6), zc.T @ (y - y.mean()))
+    got = importance.entity_coefficients(spark, model).orderBy("entity").collect()
+    assert [r.entity for r in got] == ["0", "1", "2", "3"] and np.allclose([r.coefficient for r in got], w[2:], atol=1e-4)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = type(model).load(str(tmp_path / "m"))
+    assert models.model_features(loaded) == ["a", "b"] and models.entity_domain(loaded) == ["0", "1", "2", "3"]
+    unseen = train.where("entity_id = 1").withColumn("entity_id", F.lit(99))
+    both = models.predict(loaded, unseen, "m"), models.predict(loaded, train.where("entity_id = 1"), "m")
+    mean = [p.agg(F.avg("y_pred")).first()[0] for p in both]
+    assert both[0].count() == 40 and mean[1] - mean[0] == pytest.approx(got[1].coefficient, abs=1e-6)
+    forest = models.fit_forest(train, ["a"], trees=5, depth=4, entity="entity_id")
+    assert models.predict(forest, unseen, "f").count() == 40 and models.entity_domain(models.fit_ridge(train, ["a"])) == []

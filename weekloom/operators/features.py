@@ -106,7 +106,7 @@ def add_indicators(panel: DataFrame, entities: Sequence[int], focus: int | None
                    keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """0/1 columns for a fixed, short list of entities, and a flag for one of interest.
 
-    For a large domain use MLlib's ``OneHotEncoder``, which keeps one sparse vector column.
+    For a large domain, ``models.entity_stages`` keeps one sparse vector column in the pipeline.
     """
     columns = {f"is_entity_{e}": (F.col(keys.entity) == e).cast("int") for e in entities}
     if focus is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.features import complete_rows
-from weekloom.operators.models import Fitted, model_features, regressor_of
+from weekloom.operators.models import Fitted, entity_domain, model_features, regressor_of
 from weekloom.operators.panel import combine_sources
 
 # Feature categories, as patterns of feature names.
@@ -86,6 +86,18 @@ def fitted_importance(spark: SparkSession, models: Sequence[Fitted]) -> DataFram
     return combine_sources(tables)
 
 
+def entity_coefficients(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The coefficient of each entity in a linear pipeline that holds entities as a sparse vector.
+
+    In units of the target, next to entities that the fit has not seen, whose coefficient is 0.
+    """
+    names, values = entity_domain(model), regressor_of(model).coefficients.toArray()
+    if not names:
+        raise ValueError("the pipeline holds no entities")
+    rows = list(zip(names, map(float, values[len(values) - len(names):])))
+    return spark.createDataFrame(rows, "entity string, coefficient double")
+
+
 def _shares(spark: SparkSession, features: Sequence[str], values, horizon: int) -> DataFrame:
     numbers = [float(v) for v in values]
     total = sum(numbers) or 1.0

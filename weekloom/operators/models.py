@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -68,36 +68,69 @@ def resolve_features(rows: DataFrame, features: Sequence[str]) -> list[str]:
     return list(features)
 
 
+# Columns of an encoded entity inside a pipeline.
+ENTITY_NAME, ENTITY_INDEX, ENTITY_VECTOR = "entity_name", "entity_index", "entity_vector"
+
+
+def entity_stages(entity: str) -> list:
+    """Stages that turn an entity into one sparse 0/1 vector, whatever the size of its domain.
+
+    The domain is learned in the fit and saved with the pipeline. An entity that the fit has not
+    seen keeps its rows: its vector is all zeros, so it is scored as the average entity.
+    """
+    return [
+        SQLTransformer(statement=f"SELECT *, CAST(`{entity}` AS STRING) AS {ENTITY_NAME} FROM __THIS__"),
+        StringIndexer(inputCol=ENTITY_NAME, outputCol=ENTITY_INDEX, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=[ENTITY_INDEX], outputCols=[ENTITY_VECTOR], dropLast=True),
+    ]
+
+
 def fit_ridge(train: DataFrame, features: Sequence[str] = RIDGE_FEATURES, target: str = "cases",
-              alpha: float = 1.0) -> PipelineModel:
+              alpha: float = 1.0, entity: str | None = None) -> PipelineModel:
     """L2-penalised linear fit on standardised features, prediction not below 0.
 
     ``alpha`` penalises the sum of squares over rows. MLlib averages over rows, divides the
     penalty by the deviation of the label, and its scaler uses the sample deviation of the
-    features; the factor on the penalty makes up for all three.
+    features; the factor on the penalty makes up for all three. ``entity`` adds a coefficient for
+    each entity as a sparse vector, which is not standardised.
     """
-    usable = _usable(train, features, target)
+    usable = _usable(train, features, target, [entity] if entity else ())
     size = usable.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("deviation")).first()
     n, deviation = size["n"], size["deviation"]
     if not n:
         raise ValueError(f"no complete training row for {target}")
-    stages = [
-        _assembler(usable, features, "raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        LinearRegression(labelCol=target, elasticNetParam=0.0, standardization=False,
-                         regParam=alpha * deviation * (n - 1) / n / n, solver="normal"),
-        _output(),
-    ]
-    return Pipeline(stages=stages).fit(usable)
+    penalty = alpha * deviation * (n - 1) / n / n
+    stages = [_assembler(usable, features, "raw_features")]
+    if entity:
+        # Sparse columns are not scaled, so their penalty needs no correction for the sample deviation.
+        stages += [StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True), *entity_stages(entity),
+                   VectorAssembler(inputCols=["scaled_features", ENTITY_VECTOR], outputCol="features"),
+                   LinearRegression(labelCol=target, elasticNetParam=0.0, standardization=False, regParam=alpha * deviation / n,
+                                    solver="auto", maxIter=500, tol=1e-10)]
+    else:
+        stages += [StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+                   LinearRegression(labelCol=target, elasticNetParam=0.0, standardization=False, regParam=penalty, solver="normal")]
+    return Pipeline(stages=[*stages, _output()]).fit(usable)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str] = FOREST_FEATURES, target: str = "cases",
-               trees: int = 300, depth: int = 10, min_leaf: int = 5) -> PipelineModel:
-    usable = _usable(train, features, target)
+               trees: int = 300, depth: int = 10, min_leaf: int = 5, entity: str | None = None) -> PipelineModel:
+    """Random forest; ``entity`` adds the entity as a sparse vector of any size."""
+    usable = _usable(train, features, target, [entity] if entity else ())
     forest = RandomForestRegressor(
         labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
         featureSubsetStrategy="all", seed=SEED)
-    return Pipeline(stages=[_assembler(usable, features), forest, _output()]).fit(usable)
+    stages = [_assembler(usable, features)]
+    if entity:
+        stages = [_assembler(usable, features, "raw_features"), *entity_stages(entity),
+                  VectorAssembler(inputCols=["raw_features", ENTITY_VECTOR], outputCol="features")]
+    return Pipeline(stages=[*stages, forest, _output()]).fit(usable)
+
+
+def entity_domain(model: PipelineModel) -> list[str]:
+    """The entities a pipeline was fitted on, in the order of their vector; empty without such a vector."""
+    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
+    return list(indexers[0].labels) if indexers else []
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str] = BOOSTED_FEATURES, target: str = "cases",

@@ -7,23 +7,23 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.operators import evaluate, folds as fold_ops, importance, models
+from weekloom.operators import evaluate, features as features_ops, folds as fold_ops, importance, models
 from weekloom.operators.forecast import persistence
 from weekloom.operators.panel import combine_sources
 from weekloom.plans.scoring import ensemble_report, walk_forward_report
 from weekloom.session import scratch, settled
 from weekloom.sources import bundles
 from weekloom.sources.tables import routing_table
-from workloads.base import base_table, features, neat, neat_wrap, sql
+from workloads.base import base_table, features, neat, neat_wrap, sql, supplier_panel
 from workloads.scoring import BLOCKS
 
 HORIZONS = range(5)
-KINDS = ("ridge", "forest", "boosted", "sequence_linear", "sequence_boosted")
+KINDS = ("ridge", "small_forest", "boosted", "sequence_linear", "sequence_boosted")
 # What fits cost here is told in the README: the grid has a few rounds, and two values of two parameters;
 # bases of the stack have fewer rounds and trees than the models alone.
 GRID = {"maxIter": [2, 4, 6], "maxDepth": [3, 5], "stepSize": [0.1], "minInstancesPerNode": [1, 5]}
 STACK_ROUNDS, STACK_TREES = 10, 20
-FOREST_TREES = 20  # at horizons above 0; horizon 0 has the library's 300
+SMALL_FOREST = 20  # trees of the forests at all horizons; ``forest`` has the library's 300
 ROUTING = {
     0: {"default": "boosted"}, 1: {"default": "persistence"}, 2: {"default": "persistence"},
     3: {"default": "sequence_linear"}, 4: {"default": "sequence_linear"},
@@ -51,7 +51,9 @@ def _fit(table, kind, horizon):
     if kind == "ridge":
         return models.fit_flat(models.fit_ridge, train, kind, horizon)
     if kind == "forest":
-        return models.fit_flat(models.fit_forest, train, kind, horizon, **({"trees": FOREST_TREES} if horizon else {}))
+        return models.fit_flat(models.fit_forest, train, kind, horizon)
+    if kind == "small_forest":
+        return models.fit_flat(models.fit_forest, train, kind, horizon, trees=SMALL_FOREST)
     if kind == "boosted":
         early, late = (models.compact(table.where("split = 'train'").where(w)) for w in ("year < 1999", "year = 1999"))
         return models.fit_flat(models.fit_boosted, early, kind, horizon, validation=late)
@@ -102,7 +104,8 @@ def sequence_boosted_scores(spark, sf):
 def saved_models(spark, sf):
     """Every kind at every horizon, scored from memory and from its bundle: rows, and rows that agree."""
     loaded = settled(_predicted(spark, sf))
-    fresh = settled(bundles.score_bundle(list(_BUNDLES[spark.sparkContext.applicationId, sf][1].values()), _held(spark, sf)))
+    held = _BUNDLES[spark.sparkContext.applicationId, sf][1]
+    fresh = settled(bundles.score_bundle([held[k, h] for k in KINDS for h in HORIZONS], _held(spark, sf)))
     keys = ["model", "horizon", "split", "entity_id", "year", "epi_week"]
     both = fresh.join(loaded.select(*keys, F.col("y_pred").alias("y_loaded")), keys, "full")
     return both.groupBy("model", "horizon").agg(
@@ -169,7 +172,7 @@ def _importances(spark, sf):
     """Gain, coefficients and permutation effects of the models of the bundle, in one long table."""
     held = _held(spark, sf)
     fitted = importance.fitted_importance(spark, [
-        *_models(spark, sf, ["ridge", "boosted", "sequence_linear", "sequence_boosted"]), *_models(spark, sf, ["forest"], [0])])
+        *_models(spark, sf), *_models(spark, sf, ["forest"], [0])])
     moved = [importance.permutation_importance(m.pipeline, held, m.horizon).withColumn("model", F.lit(m.name)).withColumn(
         "method", F.lit("permutation")) for m in _models(spark, sf, ["ridge", "boosted"])]
     return settled(combine_sources([fitted, *moved]), "importances")
@@ -187,6 +190,19 @@ def model_top_features(spark, sf):
     return neat(importance.top_features(_importances(spark, sf), by=["model", "method"]))
 
 
+def _supplier_rows(spark, sf):
+    """Weekly units by supplier, with last week's units and the season."""
+    lagged = features_ops.add_season(features_ops.add_lags(supplier_panel(spark, sf), {"cases": "cases"}, [1, 2]))
+    return settled(lagged.where("cases_lag2 is not null"), "suppliers")
+
+
+def entity_coefficients(spark, sf):
+    """A coefficient for each supplier, from one sparse vector."""
+    rows = _supplier_rows(spark, sf)
+    model = models.fit_ridge(rows, ["cases_lag1", "cases_lag2", "week_sin", "week_cos"], entity="entity_id")
+    return neat(importance.entity_coefficients(spark, model))
+
+
 def _counted_importance(spark, sf):
     """A stand-in importance with an SQL form: rows where feature and target exceed a bound."""
     base = base_table(spark, sf)
@@ -215,7 +231,7 @@ def top_features(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     ridge_scores, forest_scores, boosted_scores, sequence_linear_scores, sequence_boosted_scores,
-    saved_models, grid_search_results, stacked_scores, ensemble_scores, walk_forward_scores, gain_importance,
+    saved_models, entity_coefficients, grid_search_results, stacked_scores, ensemble_scores, walk_forward_scores, gain_importance,
     coefficient_importance, permutation_importance, model_category_importance, model_category_changes, model_top_features,
     category_importance, category_changes, top_features,
 )}
@@ -236,7 +252,7 @@ def _complete(features):
     return " AND ".join(f"{f} IS NOT NULL" for f in features)
 
 
-_FLAT = {"ridge": models.RIDGE_FEATURES, "forest": models.FOREST_FEATURES, "boosted": models.BOOSTED_FEATURES}
+_FLAT = {"ridge": models.RIDGE_FEATURES, "small_forest": models.FOREST_FEATURES, "boosted": models.BOOSTED_FEATURES}
 _TARGETS = ["cases", *[f"target_h{h}" for h in range(1, 5)]]
 _SAVED = " UNION ALL ".join(
     [f"SELECT '{m}' AS model, {h}::INT AS horizon, count(*) AS n FROM split WHERE split <> 'train' AND {t} IS NOT NULL AND {_complete(f)}"
