@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekloom.llm.sampling import smallest_digests
-from weekloom.llm.search import matrix
+from weekloom.llm.search import NO_ID, matrix, stretches
 from weekloom.session import settled
 
 SAMPLE = 4096
@@ -28,7 +28,6 @@ ROWS = 8192
 STEP = 256
 BATCH_BYTES = 1 << 24
 EXACT = 1 << 53
-NO_ID = np.iinfo(np.int64).max
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -177,20 +176,6 @@ def partial_results(rows: DataFrame, anchors: pa.Table, groups: np.ndarray, ques
     return rows.select("row", "id", "label", "weights").mapInArrow(scan, FOUND)
 
 
-def stretches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Table]:
-    """Tables of ``block`` rows; the last one may hold fewer."""
-    held, n = [], 0
-    for batch in batches:
-        for low in range(0, batch.num_rows, block):
-            held.append(batch.slice(low, block))
-            n += held[-1].num_rows
-            if n >= block:
-                yield pa.Table.from_batches(held)
-                held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def labelled_rows(vectors: DataFrame, key: str, vector: str, label: str, scale: int, relabelled: Column | None) -> DataFrame:
     """Rows (row, id, label, weights): usable rows with weights floor(scale * x); ``row`` tells equal rows apart."""
     named = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
