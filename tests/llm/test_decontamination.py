@@ -50,3 +50,24 @@ def test_clean_keeps_rows_and_columns(spark, documents):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 3, 5]
     assert decontamination.clean(docs, benchmark.limit(0)).count() == 5
     assert decontamination.contamination(docs.limit(0), benchmark).count() == 0
+
+
+def test_rows_and_items_without_id(spark, documents):
+    """A third of all rows without id, and items without id, that are one item."""
+    texts = ["one two three four", "zero one two three nine", "clean", "clean", "five six seven", "clean one"] * 5
+    docs = documents(texts, ids=[None, 1, None, 1, 2, None] * 5)
+    benchmark = spark.createDataFrame(
+        [(None, "One, two three"), (None, "five six seven"), (None, None), (4, "two three four")], "item_id long, text string")
+    got = sorted((tuple(r)[0:4] + (r.contaminated,) for r in decontamination.contamination(docs, benchmark, 3).collect()), key=str)
+    want = [(None, 4, 4, 2, True), (1, 5, 3, 1, True), (None, 1, 0, 0, False), (1, 1, 0, 0, False), (2, 3, 3, 1, True), (None, 2, 0, 0, False)]
+    assert got == sorted(want * 5, key=str)
+    kept = decontamination.clean(docs, benchmark, 3).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, "clean"), (1, "clean"), (None, "clean one")] * 5, key=str)
+
+
+def test_a_text_of_several_megabytes(spark, documents):
+    long = "filler word " * 300_000
+    docs = documents([long + "one two three " + long, long])
+    benchmark = spark.createDataFrame([(7, "One, two three")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.contamination(docs, benchmark, 3).collect()}
+    assert got == {0: (1_200_003, 3), 1: (600_000, 0)}

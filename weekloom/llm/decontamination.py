@@ -166,8 +166,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str
 
     The benchmark is worked through in blocks of about ``block_bytes``, so that what is sent to
     every task keeps its size however many items there are. Null texts have no words; items
-    without words have no windows; repeated documents each get a row; items that share an id are
-    one item.
+    without words have no windows; repeated documents, and documents without id, each get a row;
+    items that share an id are one item, as are all items without id.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(item_text)).alias("b")).first().b or 0
@@ -179,7 +179,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str
     schema = state.schema
     for b in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(n_blocks)) == b)
-        windows = Windows([tuple(r) for r in part.select(item, item_text).where(F.col(item).isNotNull()).toLocalIterator()], n)
+        windows = Windows([tuple(r) for r in part.select(item, item_text).toLocalIterator()], n)
         values: dict[int, list[np.ndarray]] = {}
         for _, rows, s in windows.shingles():
             values.setdefault(s, []).append(rows.ravel())
@@ -205,7 +205,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str
                     part["key"], part["text"], pa.array(np.diff(first).astype(np.int32)),
                     pa.array([[a for a, _ in r] for r in runs_of], pa.list_(pa.int32())),
                     pa.array([[z for _, z in r] for r in runs_of], pa.list_(pa.int32())),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], part.schema.names)
+                    pa.array([sorted(x, key=lambda i: (i is None, i or 0)) for x in items], pa.list_(pa.int64()))], part.schema.names)
 
         state = state.mapInArrow(scan, schema)
         if b + 1 < n_blocks:
@@ -217,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
     """Per document: key, n_words, n_hit, n_items, items_sha256 and contaminated.
 
     See ``benchmark_hits`` for nulls, empty texts and repeated rows; without hits the digest is
-    that of an empty string.
+    that of an empty string. The item without id counts in n_items and has no place in the digest.
     """
     hits = benchmark_hits(docs, benchmark, n, key, **names)
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -228,7 +228,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
         (n_hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", **names) -> DataFrame:
-    """The documents that hold no benchmark window, with all their columns."""
-    hits = contamination(docs, benchmark, n, key, **names).where("contaminated").select(key).distinct()
-    return docs.join(hits, key, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The documents that hold no benchmark window, with all their columns.
+
+    What a document holds depends on its text alone, so texts are what is dropped: rows without id
+    and rows that share one are judged each by its own text. Null texts stay; repeated rows stay
+    or go together; an empty table stays empty.
+    """
+    hits = benchmark_hits(docs, benchmark, n, key, text, **names).where(F.size("starts") > 0)
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    held = hits.select(digest(F.col("text")).alias("held")).distinct()
+    return docs.join(held, digest(F.col(text)) == F.col("held"), "left_anti")
