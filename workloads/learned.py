@@ -171,8 +171,7 @@ def permutation_importance(spark, sf):
 def _importances(spark, sf):
     """Gain, coefficients and permutation effects of the models of the bundle, in one long table."""
     held = _held(spark, sf)
-    fitted = importance.fitted_importance(spark, [
-        *_models(spark, sf), *_models(spark, sf, ["forest"], [0])])
+    fitted = importance.fitted_importance(spark, _models(spark, sf))
     moved = [importance.permutation_importance(m.pipeline, held, m.horizon).withColumn("model", F.lit(m.name)).withColumn(
         "method", F.lit("permutation")) for m in _models(spark, sf, ["ridge", "boosted"])]
     return settled(combine_sources([fitted, *moved]), "importances")
