@@ -61,3 +61,44 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_documents_without_ids_link_like_others(documents):
+    a = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"
+    b, c = a + " x1", "other words stand here in a row of ten words now"
+    docs = documents([a, b, a, c, c, None, "", c.replace("now", "then"), a], ids=[None, 5, 9, None, None, None, None, 8, 5])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, 4, 85).collect()), key=str)
+    none = [(None, n, c) for n, c in ((32, 5), (8, None), (8, None), (0, None), (0, None))]
+    assert got == sorted([*none, (5, 33, 5), (9, 32, 5), (8, 8, 8), (5, 32, 5)], key=str)
+    kept = jaccard.one_of_each(docs, 4, 85)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(rows, key=str) == sorted([next(r for r in rows if r[0] == 5), (None, c), (8, c.replace("now", "then")), (None, None), (None, "")], key=str)
+
+
+def test_a_third_without_ids_and_one_very_long_text(documents):
+    random.seed(4)
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(12)) for _ in range(60)]
+    long = " ".join(f"w{random.randrange(10 ** 6)}" for _ in range(400_000))
+    texts += [long, long + " end"]
+    ids = [None if i % 3 == 0 else i for i in range(len(texts))]
+    docs = documents(texts, ids=ids)
+    got = jaccard.similar_groups(docs, 4, 85).collect()
+    assert len(got) == len(texts)
+    # Both long texts are one group, and the one with an id names it.
+    assert {r.component_id for r in got if r.n_shingles > 100_000} == {61}
+    assert jaccard.one_of_each(docs, 4, 85).count() == len(set(texts)) - 1
+
+
+def test_many_middling_copies_of_one_text(documents):
+    """Sets of one list that only link in chains through others than its smallest one."""
+    random.seed(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in random.sample(range(60), 2):
+            words[at] = f"v{random.randrange(40)}"
+        texts.append(" ".join(words))
+    got = sorted(tuple(r) for r in jaccard.similar_groups(documents(texts), 4, 72).collect())
+    assert got == brute(list(enumerate(texts)), 4, 72)

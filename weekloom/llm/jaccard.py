@@ -2,13 +2,17 @@
 
 Two sets of similarity ``t`` or more must share a token among the first n - ceil(t n) + 1 tokens
 of each, under whichever global order both are sorted by. The first order, rare tokens first,
-makes the candidates: posting lists of prefix tokens, cut by length, position and a bitmap of each
-set. Candidates must then also share a prefix token under two unrelated orders before their sets
-are compared.
+makes the candidates: posting lists of prefix tokens, cut by length and position. Candidates must
+also share a prefix token under two unrelated orders, and their bitmaps must be near; all of this
+is asked before a text moves and sets are compared.
 
-Only connected groups are asked for, so a posting list is not expanded into all its pairs: first
-every set meets the smallest one of each of its lists, then, with the groups that this gives,
-only sets of different groups meet. Equal sets are one set throughout.
+Only connected groups are asked for, so a posting list is not expanded into all its pairs: in
+rounds every set meets one set of each of its lists, the smallest at first and then another one
+each time, until no round links anything; what is then left is joined in full, but only across
+groups. Equal sets are one set throughout.
+
+Tokens and sets are known by 64-bit digests; among 10^10 different sets about three pairs are
+expected to be taken for equal.
 """
 
 from __future__ import annotations
@@ -75,34 +79,37 @@ def rare_first(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return (levels[bucket(tokens)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, 1) >> np.uint64(6))
 
 
-def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """Per document (key, n, sid: digest of its set, bits: its bitmap), and every counter's level."""
+def described(frame: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.ndarray]:
+    """Per document (key, tag, n, sid: digest of its set, bits: its bitmap, second and third: its
+    prefix tokens under these orders), and every counter's level."""
+    columns = ["key", "tag", "n", "sid", "bits", "second", "third"]
+    schema = "key long, tag long, n int, sid long, bits array<long>, second array<int>, third array<int>, part int, counts binary"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for part, texts in blocks(batches, "text"):
-            sizes, sids, seen, bits = [], [], [], []
+            sizes, sids, seen, bits, second, third = [], [], [], [], [], []
             for tokens in shingle_sets(texts, size):
                 sizes.append(len(tokens))
                 sids.append(digest(tokens))
                 seen.append(tokens)
                 bits.append(bitmap(tokens))
+                second.append(first_of(tokens, 2, percent))
+                third.append(first_of(tokens, 3, percent))
             np.add.at(counts, bucket(np.concatenate(seen)), 1)
+            held = [pa.array(v, k) for v, k in zip((sizes, sids, bits, second, third), kinds[2:], strict=True)]
             none = pa.nulls(part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part["key"], pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
-                 pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["key", "n", "sid", "bits", "part", "counts"])
+                [part["key"], part["tag"], *held, none.cast(pa.int32()), none.cast(pa.binary())], [*columns, "part", "counts"])
         if counts.any():
             # One byte a counter: what a task has seen 255 times is common wherever the line is drawn.
             rows = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)]
-            none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
-                 pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())],
-                ["key", "n", "sid", "bits", "part", "counts"])
+                [*(pa.nulls(len(rows), k) for k in kinds), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())],
+                [*columns, "part", "counts"])
 
-    found = settled(frame.mapInArrow(scan, "key long, n int, sid long, bits array<long>, part int, counts binary"), "sets")
+    found = settled(frame.mapInArrow(scan, schema), "sets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -119,7 +126,7 @@ def described(frame: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows.mapInArrow(add, "part int, counts binary").collect():
         total[r.part * PART:(r.part + 1) * PART] += np.frombuffer(r.counts, dtype=np.uint32)
-    return found.where("part is null").select("key", "n", "sid", "bits"), np.minimum(2 * np.log2(total + 1), 63).astype(np.uint8)
+    return found.where("part is null").select(*columns), np.minimum(2 * np.log2(total + 1), 63).astype(np.uint8)
 
 
 def prefixes(frame: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -157,121 +164,160 @@ def room(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Colu
     return bound * (100 + percent) >= (n1 + n2) * percent
 
 
-def verified(pairs: DataFrame, frame: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, x, b, y), two documents (keys) with the digests of their sets, the similar pairs (a, b).
+def verified(pairs: DataFrame, nodes: DataFrame, frame: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of (x, y), pairs of sets, those that are similar.
 
-    All partners of ``a`` are compared in the tasks that hold its text, in portions of bounded size.
+    All partners of ``x`` are compared in the tasks that hold its text, in portions of bounded size.
     """
-    many = settled(pairs.groupBy("a", "x").agg((F.count("*") / MEMBERS).cast("int").alias("more")), "hubs")
-    asked = settled(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "asked")
-    texts = settled(frame.join(asked, "key"), "asked-texts")
-    salt = F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int")
-    members = pairs.join(many, ["a", "x"]).select(
-        F.col("b").alias("key"), "a", "x", salt.alias("salt"), F.lit(1).alias("kind"), F.col("y").alias("sid")).join(texts, "key")
+    many = settled(pairs.groupBy("x").agg((F.count("*") / MEMBERS).cast("int").alias("more")), "hubs")
+    asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+    asked = settled(asked.join(nodes.select("sid", "at.key", "at.tag"), "sid"), "asked")
+    rows = frame.join(asked.withColumnRenamed("key", "_key").withColumnRenamed("tag", "_tag"),
+                      F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
+    # Rows that share key and text are read once.
+    texts = settled(rows.groupBy("sid").agg(F.first("text").alias("text")), "asked-texts")
+    salt = F.pmod(F.xxhash64("y"), F.col("more") + 1).cast("int")
+    members = pairs.join(many, "x").select("x", salt.alias("salt"), F.lit(1).alias("kind"), F.col("y").alias("sid")).join(texts, "sid")
     hubs = many.select(
-        F.col("a").alias("key"), "a", "x", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"),
-        F.lit(0).alias("kind"), F.col("x").alias("sid")).join(texts, "key")
+        "x", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), F.col("x").alias("sid")).join(texts, "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, orders, at = np.zeros(0, dtype=np.uint64), [], None
+        hub, at = np.zeros(0, dtype=np.uint64), None
         for part, texts in blocks(batches, "text"):
             left, right = [], []
-            columns = (part[n].to_pylist() for n in ("kind", "a", "x", "salt", "key", "sid"))
-            for kind, a, x, salt, key, sid, tokens in zip(*columns, shingle_sets(texts, size), strict=True):
-                if digest(tokens) != sid:  # another text under the same key
-                    continue
+            columns = (part[n].to_pylist() for n in ("kind", "x", "salt", "sid"))
+            for kind, x, salt, sid, tokens in zip(*columns, shingle_sets(texts, size), strict=True):
                 if kind == 0:
-                    hub, at = tokens, (a, x, salt)
-                    orders = [first_of(hub, s, percent) for s in (2, 3)]
-                    continue
-                assert at == (a, x, salt)
-                if not all(np.isin(first_of(tokens, s, percent), o).any() for s, o in zip((2, 3), orders, strict=True)):
+                    hub, at = tokens, (x, salt)
                     continue
+                assert at == (x, salt)
                 place = np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)
                 common = int((hub[place] == tokens).sum())
                 if 100 * common >= percent * (len(hub) + len(tokens) - common):
-                    left.append(a)
-                    right.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    left.append(x)
+                    right.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["x", "y"])
 
-    rows = hubs.unionByName(members).repartition("a", "x", "salt").sortWithinPartitions("a", "x", "salt", "kind")
-    return rows.mapInArrow(compare, "a long, b long")
+    rows = hubs.unionByName(members).repartition("x", "salt").sortWithinPartitions("x", "salt", "kind")
+    return rows.mapInArrow(compare, "x long, y long")
 
 
 def first_of(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The prefix tokens of a set under the order that ``seed`` names."""
+    """32 bits of each prefix token of a set under the order that ``seed`` names."""
     keys = mixed(tokens, seed)
     p = len(tokens) - needed(len(tokens), percent) + 1
-    return np.partition(keys, p - 1)[:p] if 0 < p <= len(keys) else keys
+    keys = np.partition(keys, p - 1)[:p] if 0 < p <= len(keys) else keys
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_shingles and component_id, the smallest key reachable by links.
-
-    Links join documents whose shingle sets have 100 * intersection >= percent * union. Null,
-    empty and blank texts have no shingles, no links, and stand alone; equal texts are always
-    linked; rows that share a key each get a row; an empty table gives no rows. Keys are integers
-    and not null; other columns are ignored.
-    """
-    frame = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sets, levels = described(frame, size)
-    # One row for each distinct set: the smallest key stands for it.
+def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, tag, n, sid) of every document, tag being a digest of its text, and for each set in a
+    group of several documents (sid, stay): the first document of the group, nulls last."""
+    frame = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    sets, levels = described(frame, size, percent)
+    # One row for each distinct set: its first document stands for it.
     nodes = settled(sets.where("n > 0").groupBy("sid").agg(
-        F.min("key").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"),
-        F.first("bits").alias("bits")), "nodes")
+        F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "tag")).alias("at"), F.max("n").alias("n"),
+        F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bits", "second", "third")]), "nodes")
     tokens = settled(prefixes(frame, levels, size, percent), "prefix-tokens")
     shared = settled(tokens.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low"), "shared-tokens")
-    lists = settled(tokens.join(shared, "token"), "posting-lists")
+    lists = settled(tokens.join(shared, "token").distinct(), "posting-lists")
     released(frame.sparkSession)
 
-    def keyed(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) of sets with their keys (a, b), where the bitmaps allow a link."""
-        side = nodes.select("sid", "node", "n", "bits")
-        left, right = side.toDF("x", "a", "na", "ba"), side.toDF("y", "b", "nb", "bb")
-        apart = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-        return pairs.join(left, "x").join(right, "y").where(near).select("a", "x", "b", "y")
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) of sets that share prefix tokens under the other orders and have near bitmaps."""
+        side = nodes.select("sid", "n", "bits", "second", "third")
+        left, right = side.toDF("x", "nx", "bx", "sx", "tx"), side.toDF("y", "ny", "by", "sy", "ty")
+        apart = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        close = apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+        orders = F.arrays_overlap("sx", "sy") & F.arrays_overlap("tx", "ty")
+        return pairs.join(left, "x").join(right, "y").where(close & orders).select("x", "y")
 
     def fit(n1: str, at1: str, n2: str, at2: str) -> Column:
         a, b, c, d = (F.col(c) for c in (n1, at1, n2, at2))
         return long_enough(a, c, percent) & room(a, b, c, d, percent)
 
-    head = lists.where("sid = low").select("token", F.col("n").alias("nx"), F.col("at").alias("ax")).distinct()
+    def ordered() -> list[Column]:
+        return [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
+
+    head = lists.where("sid = low").select("token", F.col("n").alias("nx"), F.col("at").alias("ax"))
     met = lists.where("sid <> low").join(head, "token").where(fit("nx", "ax", "n", "at"))
-    first = settled(keyed(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
-    links = settled(verified(first, frame, size, percent), "links")
-    roots = components(links)
-
-    # Second round: only lists that still hold several groups, only pairs across groups.
-    group = settled(nodes.select("sid", "node").join(roots, "node", "left").select(
-        "sid", F.coalesce("root", "node").alias("root")), "groups")
-    placed = lists.drop("low").distinct().join(group, "sid")
-    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    main = settled(sizes.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("c", "root")).root.alias("main"))
-                   .where("groups > 1").select("token", "main"), "open-tokens")
-    opened = settled(placed.join(main, "token"), "open-lists")
-    other = opened.where("root <> main").select(
-        "token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"))
-    mate = opened.select(
-        "token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), "main")
-    across = other.join(mate, "token").where(
-        (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("rx") < F.col("ry")))
-        & fit("nx", "ax", "ny", "ay"))
-    # Each pair once, and none that the first round has compared.
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    second = settled(keyed(across).join(first.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-    more = verified(second, frame, size, percent)
-    roots = components(links.unionByName(more))
-
-    moved = settled(nodes.join(roots, "node", "left").where("copies > 1 or root < node").select(
-        "sid", F.coalesce("root", "node").alias("component")), "members")
-    return sets.join(moved, "sid", "left").select(
+    tried = settled(near(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
+    links = settled(verified(tried, nodes, frame, size, percent), "links")
+    rest, turn = lists.drop("low"), 0
+    while True:
+        roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        group = settled(nodes.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
+            "sid", F.coalesce("root", "sid").alias("root")), "groups")
+        # Only lists that still hold several groups go on.
+        placed = rest.join(group, "sid")
+        several = settled(placed.groupBy("token").agg(
+            F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "open-tokens")
+        opened = settled(placed.join(several, "token"), "open-lists")
+        rest, turn = opened.select("token", "sid", "n", "at"), turn + 1
+        # Another set of each list is met by those outside its group.
+        hub = opened.groupBy("token").agg(F.min_by(
+            F.struct("sid", "n", "at", "root"), F.xxhash64("token", "sid", F.lit(turn))).alias("hub"))
+        hub = hub.select("token", F.col("hub.sid").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.at").alias("ax"), F.col("hub.root").alias("rx"))
+        met = opened.join(hub, "token").where((F.col("root") != F.col("rx")) & fit("nx", "ax", "n", "at"))
+        met = met.withColumnRenamed("sid", "y").select(*ordered()).distinct()
+        fresh = settled(near(met).join(tried, ["x", "y"], "left_anti"), "pairs")
+        more = settled(verified(fresh, nodes, frame, size, percent), "links")
+        if more.isEmpty():
+            tried = tried.unionByName(fresh)
+            break
+        tried, links = settled([tried, fresh], "tried"), settled([links, more], "links")
+
+    # Every pair across groups that the lists still hold.
+    main = settled(opened.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "root")).root.alias("main")), "main-groups")
+    opened = opened.join(main, "token").join(nodes.select("sid", "bits"), "sid")
+    names = ["n", "at", "root", "bits"]
+    other = opened.where("root <> main").select("token", F.col("sid").alias("x"), *[F.col(c).alias(f"{c}_x") for c in names])
+    mate = opened.select("token", F.col("sid").alias("y"), *[F.col(c).alias(f"{c}_y") for c in names], "main")
+    apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    across = other.join(
+        mate, (other.token == mate.token) & F.expr("root_x <> root_y AND (root_y = main OR root_x < root_y)")
+        & fit("n_x", "at_x", "n_y", "at_y") & (apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)))
+    last = settled(near(across.select(*ordered()).distinct()).join(tried, ["x", "y"], "left_anti"), "pairs")
+    links = links.unionByName(verified(last, nodes, frame, size, percent))
+    roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    rooted = settled(nodes.select("sid", "at", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "sid", "at", "copies", F.coalesce("root", "sid").alias("root")), "groups")
+    stays = settled(rooted.groupBy("root").agg(F.min("at").alias("stay"), F.sum("copies").alias("c")).where("c > 1").drop("c"), "stays")
+    return sets.select("key", "tag", "n", "sid"), settled(rooted.join(stays, "root").select("sid", "stay"), "members")
+
+
+def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: key, n_shingles and component_id, the smallest key reachable by links.
+
+    Links join documents whose shingle sets have 100 * intersection >= percent * union. Null,
+    empty and blank texts have no shingles, no links, and stand alone; equal texts are always
+    linked; rows that share a key each get a row; an empty table gives no rows. Keys are integers.
+    A document without key links others like any; component_id is null only where no document
+    of the group has a key. Other columns are ignored.
+    """
+    sets, members = groups(docs, size, percent, key, text)
+    return sets.join(members, "sid", "left").select(
         F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component_id"))
+        F.when(F.col("n") > 0, F.coalesce("stay.key", "key")).otherwise(F.col("key")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all their columns, of each group the one with the smallest key."""
-    groups = similar_groups(docs, size, percent, key, text)
-    return docs.join(groups.where(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
+    """The documents with all their columns, of each group one: that with the smallest key, one
+    without a key only where the group has none with one; of rows that share key and text any.
+
+    Documents without words are in no group and all stay, as do all columns whatever their names;
+    of rows that share the key, but not the text, the one whose text has the smaller digest stays.
+    """
+    sets, members = groups(docs, size, percent, key, text)
+    stays = F.col("key").eqNullSafe(F.col("stay.key")) & (F.col("tag") == F.col("stay.tag"))
+    seen = sets.where("n > 0").join(members, "sid").groupBy("key", "tag").agg(
+        F.bool_or(stays).alias("stays"), F.count("*").alias("c")).where("c > 1 OR NOT stays")
+    seen = settled(seen.select(F.col("key").alias("_k"), F.col("tag").alias("_t"), "stays"), "decisions")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_tag"), F.struct("*").alias("_row"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tag") == F.col("_t"))
+    once = rows.join(seen.where("stays"), same).groupBy("_key", "_tag").agg(F.first("_row").alias("_row"))
+    return rows.join(seen, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))
