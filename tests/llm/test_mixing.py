@@ -55,3 +55,25 @@ def test_odd_rows(spark):
     got = mixing.mixture(docs, {}, max_epochs=1).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got if r.n_tokens) == [(3, 2), (4, 1)]
     assert mixing.mixture(docs.limit(0), {}).count() == 0
+
+
+def test_documents_without_ids_and_repeated_rows_stay(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    long = "word " * 1_000_000
+    rows = [(None, "a b", "x", "s", 1), (None, "a b", "x", "s", 2), (None, "c d", "x", "s", 3), (7, "e f", None, "s", 4),
+            (7, "e f", None, "s", 5), (7, "g", None, "s", 6), (None, None, "x", None, 7), (8, long, "x", "s", 8),
+            *[(None, "copy", "x", "s", 9)] * 10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, times int")
+    whole = mixing.mixture(docs, {}, max_epochs=1)
+    assert sum(r.n_tokens * r.copies for r in whole.collect()) == 1_000_000 + 2 * 3 + 2 * 2 + 1 + 10
+    out = mixing.mixed_documents(docs, whole)
+    assert out.columns == docs.columns
+    # Texts without tokens are never needed; every other row comes once.
+    assert sorted((str(r.doc_id), r.text) for r in out.collect() if r.text) == sorted((str(r[0]), r[1]) for r in rows if r[1])
+
+
+def test_part_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "one two", "x", "s")] * 10, "doc_id long, text string, lang string, source string")
+    chosen = mixing.mixture(docs, {}, share=1.35, max_epochs=2)
+    assert sorted((r.epoch, r.copies) for r in chosen.collect()) == [(0, 10), (1, 4)]
+    assert mixing.mixed_documents(docs, chosen).count() == 14

@@ -40,7 +40,8 @@ def source_domain() -> Column:
 
 
 def op4_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf, "documents"), mix_weights(), domain=source_domain())
+    chosen = mixing.mixture(table(spark, sf, "documents"), mix_weights(), domain=source_domain())
+    return mixing.repeated(chosen.drop("tag"), "copies")
 
 
 def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +131,7 @@ def mixture_sql(docs: str) -> str:
       FROM leaves l JOIN langs d USING (domain, lang)""", "domain, lang", "source")
     return f"""
     mix_rows AS (
-      SELECT doc_id, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
         len(regexp_extract_all(coalesce(text, ''), '{token}'))::BIGINT AS n_tokens FROM {docs}),
     leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM mix_rows GROUP BY ALL),
     domains AS ({domains}),
@@ -140,7 +141,7 @@ def mixture_sql(docs: str) -> str:
       SELECT domain, lang, source, part::BIGINT AS budget, CASE WHEN supply > 0 THEN (part // supply)::BIGINT ELSE 0 END AS passes,
         CASE WHEN supply > 0 THEN (part % supply)::BIGINT ELSE 0 END AS rest FROM sources),
     placed AS (
-      SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-' || passes || '-' || doc_id), doc_id
+      SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-' || passes || '-' || name), doc_id, n_tokens
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM mix_rows JOIN budgets USING (domain, lang, source)),
     taken AS (SELECT *, passes + CASE WHEN before < rest THEN 1 ELSE 0 END AS epochs FROM placed)"""
