@@ -8,8 +8,7 @@ is asked before a text moves and sets are compared.
 
 Only connected groups are asked for, so a posting list is not expanded into all its pairs: in
 rounds every set meets one set of each of its lists, the smallest at first and then another one
-each time, until no round links anything; what is then left is joined in full, but only across
-groups. Equal sets are one set throughout.
+each time; what is then left is joined in full, but only across groups. Equal sets are one set throughout.
 
 Tokens and sets are known by 64-bit digests; among 10^10 different sets about three pairs are
 expected to be taken for equal.
@@ -37,6 +36,8 @@ PART = 4096
 BITMAP = 2048
 #: Partners that one task compares with a set before the next task takes over.
 MEMBERS = 512
+#: Rounds in which the sets of a list meet one of them, after the first; they spare the last join pairs.
+ROUNDS = 1
 
 
 def shingle_sets(texts: Texts, size: int) -> Iterator[np.ndarray]:
@@ -256,6 +257,8 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
             F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "open-tokens")
         opened = settled(placed.join(several, "token"), "open-lists")
         rest, turn = opened.select("token", "sid", "n", "at"), turn + 1
+        if turn > ROUNDS:
+            break
         # Another set of each list is met by those outside its group.
         hub = opened.groupBy("token").agg(F.min_by(
             F.struct("sid", "n", "at", "root"), F.xxhash64("token", "sid", F.lit(turn))).alias("hub"))
@@ -264,9 +267,6 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
         met = met.withColumnRenamed("sid", "y").select(*ordered()).distinct()
         fresh = settled(near(met).join(tried, ["x", "y"], "left_anti"), "pairs")
         more = settled(verified(fresh, nodes, frame, size, percent), "links")
-        if more.isEmpty():
-            tried = tried.unionByName(fresh)
-            break
         tried, links = settled([tried, fresh], "tried"), settled([links, more], "links")
 
     # Every pair across groups that the lists still hold.
