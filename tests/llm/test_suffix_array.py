@@ -64,3 +64,16 @@ def test_equal_rows_and_empty_tables(documents):
     got = sorted((r.doc_id, r.n_removed) for r in suffix_array.without_repeats(docs, 20).collect())
     assert got == [(1, 55), (1, 55), (2, 29), (3, 29)]
     assert suffix_array.without_repeats(docs.limit(0), 20).count() == 0
+
+
+def test_rows_without_ids_and_a_very_long_text(documents):
+    random.seed(9)
+    noise = lambda n: "".join(random.choices("abcdefgh é", k=n))
+    passage = noise(60)
+    texts = [noise(50) + passage + noise(i) for i in range(9)] + [noise(3_000_000) + "#" + passage + "#" + noise(40), passage, passage, None]
+    ids = [None if i % 3 else 1 for i in range(9)] + [2, None, None, None]
+    got = suffix_array.without_repeats(documents(texts, ids), 40).collect()
+    sizes = lambda rows: sorted((r[0] or 0, *r[1:]) for r in rows)
+    want = [(i, n, gone, spans) for i, (n, gone, spans, _) in zip(ids[:9] + ids[10:], brute(texts[:9] + texts[10:], 40), strict=True)]
+    assert sizes((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got if r.doc_id != 2) == sizes(want)
+    assert next(r.n_removed for r in got if r.doc_id == 2) == len(passage.encode())

@@ -225,6 +225,12 @@ def spans_of(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.append(0, cut)].tolist(), (starts[np.append(cut - 1, len(starts) - 1)] + length).tolist()
 
 
+def with_rows(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Join what was found for texts (key, tag) to their rows; null keys meet null keys."""
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag"))
+    return docs.join(found.withColumnsRenamed({"key": "_key", "tag": "_tag"}), same, how)
+
+
 def with_bytes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """The chosen pieces (key, tag, start, starts, least, others, more) with their bytes."""
     fields = ["start", "starts", "least", "others", "more"]
@@ -241,7 +247,7 @@ def with_bytes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "tag", *fields, "raw"])
 
-    return docs.join(settled(wanted, "wanted-pieces"), ["key", "tag"]).mapInArrow(
+    return with_rows(docs, settled(wanted, "wanted-pieces")).select("key", "tag", "text", "pieces").mapInArrow(
         scan, "key long, tag long, start long, starts int, least long, others long, more int, raw binary")
 
 
@@ -367,15 +373,16 @@ def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", tex
     """Per document: key, n_bytes, kept (the bytes left), n_removed, n_spans.
 
     Null texts are empty; texts under ``length`` bytes lose nothing; equal rows repeat each
-    other, so all their strings go; an empty table gives no rows; other columns are ignored. A cut
-    may fall inside a character: the result is bytes.
+    other, so all their strings go; rows without key, or with a shared one, are documents like
+    any; an empty table gives no rows; other columns are ignored. A cut may fall inside a
+    character: the result is bytes.
     """
     frame = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
         "tag", F.xxhash64("text"))
     frame = frame.select("key", "tag", "text")
     spans = repeated_spans(frame, length).groupBy("key", "tag").agg(
         F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high"))
-    joined = frame.join(settled(spans, "spans"), ["key", "tag"], "left").select("key", "text", "low", "high")
+    joined = with_rows(frame, settled(spans, "spans"), "left").select("key", "text", "low", "high")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
