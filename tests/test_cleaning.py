@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -119,6 +119,21 @@ def test_date_gaps(spark, rows):
     assert rows(cleaning.date_gaps(frame)) == [(2,)]
 
 
+def test_date_gaps_move_words_of_days(spark, rows):
+    """Dates around 1970, edges of words, repeated, null and alone, against a sorted list."""
+    rng = np.random.default_rng(3)
+    series = {k: {date(1969, 6, 1) + timedelta(int(d)) for d in rng.choice(700, n)} for k, n in ((1, 650), (2, 300), (3, 1), (None, 90))}
+    series[4] = {date(1970, 1, 1) + timedelta(d) for d in range(-64, 130)}
+    series[5] = {date(1970, 1, 1) + timedelta(d) for d in (-65, -64, -1, 0, 63, 65, 127, 128, 192)}
+    frame = spark.createDataFrame([(k, d) for k, days in series.items() for d in days] * 2 + [(1, None), (6, None)], "k int, date date")
+    want = {k: sum((b - a).days > 1 for a, b in zip(sorted(days), sorted(days)[1:])) for k, days in series.items()}
+    got = cleaning.date_gaps(frame, by=["k"])
+    assert dict(rows(got)) == want
+    assert rows(cleaning.date_gaps(frame.where("k = 6"))) == [(-1,)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan and "hashpartitioning(k" in plan and "_day#" not in plan.replace("_days#", "")
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_exact_quantiles_match_numpy(spark, seed):
     rng = np.random.default_rng(seed)

@@ -272,18 +272,29 @@ def standard_formats(rows: DataFrame, order: Sequence[str], decimals: int = 3,
 def date_gaps(days: DataFrame, date: str = "date", by: Sequence[str] = ()) -> DataFrame:
     """Number of steps of more than one day, per series.
 
-    A step longer than a day starts at a date whose next day is absent. That is found by
-    pairing each date with the day before it, so no series is sorted in one task.
+    A step longer than a day starts at a date whose next day is absent. The dates of a series are
+    the bits of words of 64 days, which are merged before they move; ends inside a word are
+    counted there, and a word's last day is paired with the first day of the next word. So no
+    series is sorted in one task, and what moves are words, not dates.
     """
     groups = list(by)
-    seen = days.select(*groups, F.col(date).alias("_day")).where(F.col("_day").isNotNull()).distinct()
-    marks = seen.select(*groups, "_day", F.lit(1).alias("_own"), F.lit(0).alias("_next")).unionByName(
-        seen.select(*groups, F.date_sub("_day", 1).alias("_day"), F.lit(0).alias("_own"),
-                    F.lit(1).alias("_next"))
-    )
-    paired = marks.groupBy(*groups, "_day").agg(F.max("_own").alias("_own"), F.max("_next").alias("_next"))
-    ends = F.count_if((F.col("_own") == 1) & (F.col("_next") == 0))
-    return paired.groupBy(*groups).agg((ends - 1).alias("n_gaps"))
+    number = F.unix_date(F.col(date).cast("date"))
+    one = F.lit(1).cast("long")
+    words = days.where(F.col(date).isNotNull()).select(
+        *groups, F.shiftright(number, 6).alias("_word"),
+        F.call_function("shiftleft", one, number.bitwiseAND(F.lit(63))).alias("_bit"),
+    ).groupBy(*groups, "_word").agg(F.bit_or("_bit").alias("_days"))
+    later = F.shiftrightunsigned("_days", 1)
+    marks = words.select(*groups, F.explode(F.array(
+        F.struct("_word", F.bit_count(F.col("_days").bitwiseAND(F.bitwise_not(later))).alias("_ends"),
+                 (F.col("_days") < 0).alias("_last"), F.lit(False).alias("_next")),
+        F.struct((F.col("_word") - 1).alias("_word"), F.lit(0).alias("_ends"),
+                 F.lit(False).alias("_last"), (F.col("_days").bitwiseAND(one) == 1).alias("_next")),
+    )).alias("_mark")).select(*groups, "_mark.*").where("_ends > 0 OR _next")
+    paired = marks.groupBy(*groups, "_word").agg(
+        F.sum("_ends").alias("_ends"), (F.bool_or("_last") & F.bool_or("_next")).cast("long").alias("_joined"))
+    return paired.groupBy(*groups).agg(
+        (F.coalesce(F.sum(F.col("_ends") - F.col("_joined")), F.lit(0)) - 1).alias("n_gaps"))
 
 
 def iqr_outliers(rows: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
