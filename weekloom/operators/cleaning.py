@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekloom.keys import DEFAULT_KEYS, Keys
 from weekloom.operators.ranks import exact_quantiles, melt
-from weekloom.session import settled
+from weekloom.session import parts_for, settled
 
 Bounds = Mapping[str, tuple[float | None, float | None]]
 
@@ -203,7 +203,8 @@ def _interpolate_whole(rows: DataFrame, columns: Sequence[str], keys: Keys) -> D
     first, and equal keys stand in any one order.
     """
     order = [*keys.time, keys.entity]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    many = [parts_for(rows) or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+    spread = rows.repartitionByRange(*many, *order).sortWithinPartitions(*order)
     # Written once: ranges and places must not change between the passes.
     placed = settled(spread.withColumn("_part", F.spark_partition_id()).withColumn(
         "_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
@@ -223,7 +224,8 @@ def _interpolate_whole(rows: DataFrame, columns: Sequence[str], keys: Keys) -> D
     carry = based.select("_part", "_base", *[
         F.last(moved(f"_last_{c}"), ignorenulls=True).over(before).alias(f"_carry_before_{c}") for c in columns], *[
         F.first(moved(f"_first_{c}"), ignorenulls=True).over(after).alias(f"_carry_after_{c}") for c in columns])
-    joined = placed.join(carry, "_part").withColumn("_pos", F.col("_base") + F.col("_place"))
+    # By range of the part, since several parts may hash to one task.
+    joined = placed.join(carry, "_part").withColumn("_pos", F.col("_base") + F.col("_place")).repartitionByRange(*many, "_part")
     # Two sorted windows: a frame that is open to the following rows would be read anew for each row.
     earlier = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("_part").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, -1)

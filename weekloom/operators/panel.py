@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.calendar import week_index, week_of_index, year_of_index
 from weekloom.keys import DEFAULT_KEYS, Keys
+from weekloom.session import dealt
 
 
 def combine_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -80,7 +81,8 @@ def densify(panel: DataFrame, measures: Sequence[str] = ("cases",), keys: Keys =
         "_first": week_index(F.element_at("_years", 1), F.lit(1), weeks_per_year),
         "_end": week_index(F.element_at("_years", -1) + 1, F.lit(1), weeks_per_year),
     })
-    placed = bounded.withColumn("_at", F.coalesce("_at", "_first"))
+    # The one exchange on the entity: its partitions grow with the input.
+    placed = dealt(bounded.withColumn("_at", F.coalesce("_at", "_first")), keys.entity)
     order = Window.partitionBy(keys.entity).orderBy("_at", "_real")
     same = Window.partitionBy(keys.entity).orderBy("_at").rangeBetween(0, 0)
     placed = placed.withColumns({m: F.sum(F.coalesce(m, F.lit(0))).over(same) for m in measures})
