@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weekloom.llm import jaccard
 from weekloom.llm.components import components
@@ -102,3 +103,14 @@ def test_many_middling_copies_of_one_text(documents):
         texts.append(" ".join(words))
     got = sorted(tuple(r) for r in jaccard.similar_groups(documents(texts), 4, 72).collect())
     assert got == brute(list(enumerate(texts)), 4, 72)
+
+
+def test_only_texts_that_are_asked_for_move(spark, rows):
+    """Keys and tags of any kind pass if asked for; nearly all others stay where they lie."""
+    frame = spark.range(4000).select(
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("key"), F.xxhash64("id").alias("tag"), F.col("id").cast("string").alias("text"))
+    asked = frame.where("text % 41 = 0").select("key", "tag", F.lit(1).alias("sid"))
+    passed = jaccard.sifted(frame, asked)
+    assert passed.columns == frame.columns
+    assert rows(frame.where("text % 41 = 0").exceptAll(passed)) == [] and passed.count() < 110
+    assert jaccard.sifted(frame, asked.limit(0)).count() == 0

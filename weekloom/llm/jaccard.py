@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.components import components
 from weekloom.llm.words import IN_WORD, LOWER, Texts, blocks, joined, mixed
-from weekloom.session import released, settled
+from weekloom.session import dropped, released, settled
 
 #: Counters of shingles in the whole corpus; they only shape the first order.
 SKETCH_BITS = 22
@@ -39,6 +39,9 @@ MEMBERS = 512
 #: Rounds in which the sets of a list meet one of them, after the first; they spare the last join pairs.
 ROUNDS = 1
 
+#: Bits of the filter that documents pass before their texts move to be compared: 8 MB to broadcast.
+FILTER_BITS = 1 << 26
+
 
 def shingle_sets(texts: Texts, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text. Fewer words than ``size`` are one shingle."""
@@ -165,6 +168,20 @@ def room(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Colu
     return bound * (100 + percent) >= (n1 + n2) * percent
 
 
+def sifted(frame: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose key and tag are in ``asked``, and a few others of the same hash.
+
+    The hashes are bits of bitmaps of fixed size in total, so that only texts that are asked for move.
+    """
+    bit = F.pmod(F.xxhash64("key", "tag"), F.lit(FILTER_BITS)) + 1
+    maps = asked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return frame.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_bucket").where(held).select(frame.columns)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, frame: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (x, y), pairs of sets, those that are similar.
 
@@ -173,7 +190,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, frame: DataFrame, size: int, pe
     many = settled(pairs.groupBy("x").agg((F.count("*") / MEMBERS).cast("int").alias("more")), "hubs")
     asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
     asked = settled(asked.join(nodes.select("sid", "at.key", "at.tag"), "sid"), "asked")
-    rows = frame.join(asked.withColumnRenamed("key", "_key").withColumnRenamed("tag", "_tag"),
+    rows = sifted(frame, asked).join(asked.withColumnRenamed("key", "_key").withColumnRenamed("tag", "_tag"),
                       F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
     # Rows that share key and text are read once.
     texts = settled(rows.groupBy("sid").agg(F.first("text").alias("text")), "asked-texts")
@@ -224,6 +241,8 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
     shared = settled(tokens.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low"), "shared-tokens")
     lists = settled(tokens.join(shared, "token").distinct(), "posting-lists")
+    dropped(tokens)
+    dropped(shared)
     released(frame.sparkSession)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -246,6 +265,7 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
     met = lists.where("sid <> low").join(head, "token").where(fit("nx", "ax", "n", "at"))
     tried = settled(near(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
     links = settled(verified(tried, nodes, frame, size, percent), "links")
+    released(frame.sparkSession)
     rest, turn = lists.drop("low"), 0
     while True:
         roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -257,6 +277,7 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
             F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "open-tokens")
         opened = settled(placed.join(several, "token"), "open-lists")
         rest, turn = opened.select("token", "sid", "n", "at"), turn + 1
+        released(frame.sparkSession)
         if turn > ROUNDS:
             break
         # Another set of each list is met by those outside its group.
@@ -281,7 +302,9 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
         mate, (other.token == mate.token) & F.expr("root_x <> root_y AND (root_y = main OR root_x < root_y)")
         & fit("n_x", "at_x", "n_y", "at_y") & (apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)))
     last = settled(near(across.select(*ordered()).distinct()).join(tried, ["x", "y"], "left_anti"), "pairs")
-    links = links.unionByName(verified(last, nodes, frame, size, percent))
+    released(frame.sparkSession)
+    links = settled(links.unionByName(verified(last, nodes, frame, size, percent)), "links")
+    released(frame.sparkSession)
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     rooted = settled(nodes.select("sid", "at", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
