@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm import jaccard
 from weekloom.llm.components import components
+from weekloom.session import shared_folder
 
 
 def shingles(text, size):
@@ -114,3 +116,15 @@ def test_only_texts_that_are_asked_for_move(spark, rows):
     assert passed.columns == frame.columns
     assert rows(frame.where("text % 41 = 0").exceptAll(passed)) == [] and passed.count() < 110
     assert jaccard.sifted(frame, asked.limit(0)).count() == 0
+
+
+def test_tables_go_when_read(spark, documents):
+    """Once the decisions are made nothing that grows with texts or posting lists is kept."""
+    texts = [f"{'a b c d e f g h i j k l m n ' * 2}{i % 3} {i // 3}" for i in range(9)]
+    before = set(os.listdir(shared_folder(spark)))
+    kept = jaccard.one_of_each(documents(texts), 5, 60)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_folder(spark))) - before
+            if any(f.endswith(".parquet") for f in os.listdir(f"{shared_folder(spark)}/{name}"))}
+    assert kept.count() == 1
+    assert "decisions" in left
+    assert not left & {"sets", "nodes", "features", "prefix-tokens", "shared-tokens", "posting-lists", "open-lists", "asked-texts"}

@@ -17,7 +17,7 @@ expected to be taken for equal.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -168,12 +168,12 @@ def room(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Colu
     return bound * (100 + percent) >= (n1 + n2) * percent
 
 
-def sifted(frame: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``frame`` whose key and tag are in ``asked``, and a few others of the same hash.
+def sifted(frame: DataFrame, asked: DataFrame, by: Sequence[str] = ("key", "tag")) -> DataFrame:
+    """The rows of ``frame`` whose columns ``by`` are in ``asked``, and a few others of the same hash.
 
-    The hashes are bits of bitmaps of fixed size in total, so that only texts that are asked for move.
+    The hashes are bits of bitmaps of fixed size in total, so that only rows that are asked for move.
     """
-    bit = F.pmod(F.xxhash64("key", "tag"), F.lit(FILTER_BITS)) + 1
+    bit = F.pmod(F.xxhash64(*by), F.lit(FILTER_BITS)) + 1
     maps = asked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
     at = F.bitmap_bit_position(bit)
@@ -217,7 +217,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, frame: DataFrame, size: int, pe
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["x", "y"])
 
     rows = hubs.unionByName(members).repartition("x", "salt").sortWithinPartitions("x", "salt", "kind")
-    return rows.mapInArrow(compare, "x long, y long")
+    links = settled(rows.mapInArrow(compare, "x long, y long"), "links")
+    for table in (many, asked, texts):
+        dropped(table)
+    return links
 
 
 def first_of(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
@@ -233,26 +236,38 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
     group of several documents (sid, stay): the first document of the group, nulls last."""
     frame = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     sets, levels = described(frame, size, percent)
-    # One row for each distinct set: its first document stands for it.
+    # One row for each distinct set: its first document stands for it. Bitmaps stay in ``sets``.
     nodes = settled(sets.where("n > 0").groupBy("sid").agg(
-        F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "tag")).alias("at"), F.max("n").alias("n"),
-        F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bits", "second", "third")]), "nodes")
+        F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "tag")).alias("at"),
+        F.count("*").alias("copies")), "nodes")
     tokens = settled(prefixes(frame, levels, size, percent), "prefix-tokens")
     shared = settled(tokens.groupBy("token").agg(
         F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("token", "low"), "shared-tokens")
+    released(frame.sparkSession)
     lists = settled(tokens.join(shared, "token").distinct(), "posting-lists")
     dropped(tokens)
     dropped(shared)
     released(frame.sparkSession)
 
+    def features(asked: DataFrame, *names: str) -> DataFrame:
+        """(sid and the columns named) of the sets in ``asked`` and few others, once each."""
+        held = sifted(sets.where("n > 0").select("sid", *names), asked.select("sid").distinct(), ["sid"])
+        return held.groupBy("sid").agg(*[F.first(c).alias(c) for c in names])
+
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) of sets that share prefix tokens under the other orders and have near bitmaps."""
-        side = nodes.select("sid", "n", "bits", "second", "third")
+        pairs = settled(pairs, "met")
+        asked = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid")))
+        side = settled(features(asked, "n", "bits", "second", "third"), "features")
+        released(frame.sparkSession)
         left, right = side.toDF("x", "nx", "bx", "sx", "tx"), side.toDF("y", "ny", "by", "sy", "ty")
         apart = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
         close = apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
         orders = F.arrays_overlap("sx", "sy") & F.arrays_overlap("tx", "ty")
-        return pairs.join(left, "x").join(right, "y").where(close & orders).select("x", "y")
+        found = settled(pairs.join(left, "x").join(right, "y").where(close & orders).select("x", "y"), "pairs")
+        dropped(side)
+        released(frame.sparkSession)
+        return found
 
     def fit(n1: str, at1: str, n2: str, at2: str) -> Column:
         a, b, c, d = (F.col(c) for c in (n1, at1, n2, at2))
@@ -263,37 +278,40 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
 
     head = lists.where("sid = low").select("token", F.col("n").alias("nx"), F.col("at").alias("ax"))
     met = lists.where("sid <> low").join(head, "token").where(fit("nx", "ax", "n", "at"))
-    tried = settled(near(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct()), "pairs")
-    links = settled(verified(tried, nodes, frame, size, percent), "links")
+    tried = near(met.select(F.col("low").alias("x"), F.col("sid").alias("y")).distinct())
+    links = verified(tried, nodes, frame, size, percent)
     released(frame.sparkSession)
     rest, turn = lists.drop("low"), 0
     while True:
         roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         group = settled(nodes.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
             "sid", F.coalesce("root", "sid").alias("root")), "groups")
-        # Only lists that still hold several groups go on.
+        # Only lists that still hold several groups go on, and of those only the ones with a pair
+        # that has not met: all have met the smallest set, and then one that is not the smallest.
         placed = rest.join(group, "sid")
         several = settled(placed.groupBy("token").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "open-tokens")
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min("sid").alias("least"), F.count("*").alias("c")).where(
+            (F.col("low") < F.col("high")) & (F.col("c") > min(turn, 1) + 2)).select("token", "least"), "open-tokens")
         opened = settled(placed.join(several, "token"), "open-lists")
+        dropped(rest)
         rest, turn = opened.select("token", "sid", "n", "at"), turn + 1
         released(frame.sparkSession)
         if turn > ROUNDS:
             break
         # Another set of each list is met by those outside its group.
-        hub = opened.groupBy("token").agg(F.min_by(
+        hub = opened.where("sid <> least").groupBy("token").agg(F.min_by(
             F.struct("sid", "n", "at", "root"), F.xxhash64("token", "sid", F.lit(turn))).alias("hub"))
         hub = hub.select("token", F.col("hub.sid").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.at").alias("ax"), F.col("hub.root").alias("rx"))
         met = opened.join(hub, "token").where((F.col("root") != F.col("rx")) & fit("nx", "ax", "n", "at"))
         met = met.withColumnRenamed("sid", "y").select(*ordered()).distinct()
-        fresh = settled(near(met).join(tried, ["x", "y"], "left_anti"), "pairs")
-        more = settled(verified(fresh, nodes, frame, size, percent), "links")
+        fresh = near(met.join(tried, ["x", "y"], "left_anti"))
+        more = verified(fresh, nodes, frame, size, percent)
         tried, links = settled([tried, fresh], "tried"), settled([links, more], "links")
 
     # Every pair across groups that the lists still hold.
     main = settled(opened.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "root")).root.alias("main")), "main-groups")
-    opened = opened.join(main, "token").join(nodes.select("sid", "bits"), "sid")
+    opened = opened.join(main, "token").join(features(opened, "bits"), "sid")
     names = ["n", "at", "root", "bits"]
     other = opened.where("root <> main").select("token", F.col("sid").alias("x"), *[F.col(c).alias(f"{c}_x") for c in names])
     mate = opened.select("token", F.col("sid").alias("y"), *[F.col(c).alias(f"{c}_y") for c in names], "main")
@@ -301,16 +319,18 @@ def groups(docs: DataFrame, size: int, percent: int, key: str, text: str) -> tup
     across = other.join(
         mate, (other.token == mate.token) & F.expr("root_x <> root_y AND (root_y = main OR root_x < root_y)")
         & fit("n_x", "at_x", "n_y", "at_y") & (apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)))
-    last = settled(near(across.select(*ordered()).distinct()).join(tried, ["x", "y"], "left_anti"), "pairs")
-    released(frame.sparkSession)
-    links = settled(links.unionByName(verified(last, nodes, frame, size, percent)), "links")
+    last = near(across.select(*ordered()).distinct().join(tried, ["x", "y"], "left_anti"))
+    dropped(rest)
+    links = settled([links, verified(last, nodes, frame, size, percent)], "links")
     released(frame.sparkSession)
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     rooted = settled(nodes.select("sid", "at", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "at", "copies", F.coalesce("root", "sid").alias("root")), "groups")
     stays = settled(rooted.groupBy("root").agg(F.min("at").alias("stay"), F.sum("copies").alias("c")).where("c > 1").drop("c"), "stays")
-    return sets.select("key", "tag", "n", "sid"), settled(rooted.join(stays, "root").select("sid", "stay"), "members")
+    members = settled(rooted.join(stays, "root").select("sid", "stay"), "members")
+    dropped(nodes)
+    return sets.select("key", "tag", "n", "sid"), members
 
 
 def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,6 +360,9 @@ def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "d
     seen = sets.where("n > 0").join(members, "sid").groupBy("key", "tag").agg(
         F.bool_or(stays).alias("stays"), F.count("*").alias("c")).where("c > 1 OR NOT stays")
     seen = settled(seen.select(F.col("key").alias("_k"), F.col("tag").alias("_t"), "stays"), "decisions")
+    dropped(sets)
+    dropped(members)
+    released(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_tag"), F.struct("*").alias("_row"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tag") == F.col("_t"))
     once = rows.join(seen.where("stays"), same).groupBy("_key", "_tag").agg(F.first("_row").alias("_row"))
