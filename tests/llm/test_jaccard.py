@@ -1,11 +1,14 @@
 import os
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weekloom.llm import jaccard
 from weekloom.llm.components import components
+from weekloom.llm.words import Texts
 from weekloom.session import shared_folder
 
 
@@ -128,3 +131,20 @@ def test_tables_go_when_read(spark, documents):
     assert kept.count() == 1
     assert "decisions" in left
     assert not left & {"sets", "nodes", "features", "prefix-tokens", "shared-tokens", "posting-lists", "open-lists", "asked-texts"}
+
+
+def test_only_shared_prefix_tokens_become_rows(documents):
+    """Prefix tokens that one document alone holds are no rows; those of several all are."""
+    random.seed(8)
+    texts = [" ".join(f"w{random.randrange(10 ** 6)}" for _ in range(200)) for _ in range(60)]
+    texts += [texts[0] + " end", None, "", texts[1]]
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, dtype=np.uint8)
+    rows = jaccard.prefixes(documents(texts), levels, 4, 85).collect()
+    held = {r.token for r in rows}
+    raw = [(t or "").encode() for t in texts]
+    block = Texts(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    first = [set(tokens.view(np.int64).tolist()) for _, tokens in jaccard.prefix_tokens(block, levels, 4, 85)]
+    count = Counter(t for tokens in first for t in tokens)
+    assert {t for t, n in count.items() if n > 1} <= held
+    assert len(rows) < 0.2 * sum(map(len, first))
+    assert all(r.at < r.n for r in rows)
